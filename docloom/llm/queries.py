@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, topk, warc
+from . import mixing, neardup, packing, quality, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,28 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85, k=5)
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.QualityModel:
+    """Fitted to the labels outside the held-out fold."""
+    labels = _table(spark, sf_dir, "labels").where(quality.fold(F.col("doc_id")) != 2)
+    documents = _table(spark, sf_dir, "documents")
+    return quality.train(documents, labels.select("doc_id", F.col("quality").alias("label")))
+
+
+#: Documents that score less are rejected.
+QUALITY_LEAST = 0.7
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(_table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    held_out = F.coalesce(quality.fold(F.col("doc_id")) == 2, F.lit(False))
+    predicted = (F.col("score") >= QUALITY_LEAST).cast("int")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(_table(spark, sf_dir, "documents"))
     plan = mixing.range_sorted(plan, "position", "doc_id")
@@ -44,6 +66,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_warc": op3_warc,
     "op4_exact_topk": op4_exact_topk,
+    "op6_minhash": op6_minhash,
+    "op8_quality": op8_quality,
     "op10_mixing": op10_mixing,
 }
 

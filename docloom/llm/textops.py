@@ -154,9 +154,14 @@ def window_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndar
 
 
 def distinct_per_doc(values: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct ``values`` of each text, and each text's range in them."""
-    order = np.lexsort((values, doc))
-    values, doc = values[order], doc[order]
+    """Sorted distinct ``values`` of each text, and each text's range in them.
+
+    ``doc`` ascends.
+    """
+    values = values.copy()
+    cuts = np.searchsorted(doc, np.arange(docs + 1)).tolist()
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        values[a:b].sort()
     keep = np.ones(len(values), bool)
     if len(values):
         keep[1:] = (values[1:] != values[:-1]) | (doc[1:] != doc[:-1])
