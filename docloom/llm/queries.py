@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, packing, quality, syncmers, topk, warc
+from . import lines, mixing, neardup, packing, quality, syncmers, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file(), 2048)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.duplicate_lines(_table(spark, sf_dir, "documents"), percent=80)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.round_trip(_table(spark, sf_dir, "pages"), 100)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -68,6 +72,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_line_dedup": op2_line_dedup,
     "op3_warc": op3_warc,
     "op4_exact_topk": op4_exact_topk,
     "op5_syncmers": op5_syncmers,
