@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, neardup, packing, quality, syncmers, topk, warc
+from . import langid, licenses, lines, mixing, neardup, packing, quality, syncmers, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,17 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85, k=5)
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, and all documents, whose source stands for a host."""
+    documents, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
+    model = langid.train(documents.select("text", "lang"))
+    found = []
+    for rows, is_markup in ((langid.page_rows(pages), True), (langid.document_rows(documents), False)):
+        fused = langid.fuse(langid.text_evidence(rows, model, is_markup), model)
+        found.append(fused.drop("declared", "suffix", "domain", "host"))
+    return found[0].unionByName(found[1], allowMissingColumns=True)
+
+
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.QualityModel:
     """Fitted to the labels outside the held-out fold."""
     labels = _table(spark, sf_dir, "labels").where(quality.fold(F.col("doc_id")) != 2)
@@ -64,6 +75,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(_table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(_table(spark, sf_dir, "documents"))
     plan = mixing.range_sorted(plan, "position", "doc_id")
@@ -77,7 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_topk": op4_exact_topk,
     "op5_syncmers": op5_syncmers,
     "op6_minhash": op6_minhash,
+    "op7_language": op7_language,
     "op8_quality": op8_quality,
+    "op9_licenses": op9_licenses,
     "op10_mixing": op10_mixing,
 }
 
