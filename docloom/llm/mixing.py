@@ -160,3 +160,10 @@ def schedule_copies(plan: DataFrame) -> DataFrame:
 def range_sorted(rows: DataFrame, *columns: str) -> DataFrame:
     """Globally sort by range partitions, without one task that sees all rows."""
     return rows.repartitionByRange(partitions(rows.sparkSession), *columns).sortWithinPartitions(*columns)
+
+
+def mixed_documents(docs: DataFrame, schedule_of: Callable[[int], Schedule] | None = None, repeats: int = 3) -> DataFrame:
+    """``docs``, all columns, each row as often as the mix takes it, sorted by training position."""
+    copies = schedule_copies(mix(docs, schedule_of, repeats)).select("doc_id", "copy", "position")
+    met = docs.join(copies, "doc_id")
+    return range_sorted(met, "position", "doc_id", "copy").select(*docs.columns)

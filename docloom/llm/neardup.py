@@ -252,3 +252,9 @@ def near_duplicates(
 def _pairs(stars: DataFrame) -> DataFrame:
     pair = stars.where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
     return pair.distinct()
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
+    """``docs``, all columns, with one document of each component."""
+    gone = near_duplicates(docs, percent, k).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
