@@ -201,7 +201,7 @@ def _null_aware(c: Column, op: str, right: Column) -> Column:
         return _FLIPS[op](c, right)
     if op in ("lt", "lte"):
         return c.isNull() | _FLIPS[op](c, right)
-    return F.coalesce(_FLIPS[op](c, right), F.lit(False))
+    return c.isNotNull() & _FLIPS[op](c, right)  # never null, and pushed down whole
 
 
 def _plain_list(kind: T.ArrayType, value: list) -> bool:
@@ -251,7 +251,10 @@ def is_in(field: Field, values: Any) -> Column:
             same = [int(v) for v in same if math.isfinite(v) and v == int(v) and abs(v) < _EXACT]
         elif field.rank == NUMBER:
             same = [float(v) for v in same]
-        return out | F.coalesce(field.column.isin(same), F.lit(False)) if same else out
+        if not same:
+            return out
+        found = field.column.isNotNull() & field.column.isin(same)
+        return found if len(present) == len(values) else out | found
     for v in present:
         out = out | compare(field, "eq", v)
     return out
@@ -273,7 +276,7 @@ def contains(field: Field, value: Any) -> Column:
             element = lambda e: F.to_json(e) == want
         return F.coalesce(text, F.lit(False)) | F.coalesce((cls == LIST) & F.exists(items, element), F.lit(False))
     if isinstance(field.kind, T.StringType):
-        return F.coalesce(F.contains(c, F.lit(value)), F.lit(False)) if isinstance(value, str) else F.lit(False)
+        return c.isNotNull() & F.contains(c, F.lit(value)) if isinstance(value, str) else F.lit(False)
     if isinstance(field.kind, T.ArrayType):
         inner = field.kind.elementType
         return F.coalesce(F.exists(c, lambda e: compare(Field(e, inner), "eq", value)), F.lit(False))
