@@ -114,7 +114,7 @@ class QualityModel:
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, prior: float, cost: float = 1.0, epochs: int = 12, mixing: float = 0.75) -> QualityModel:
     """Fit on distinct feature numbers and 0/1 labels; ``prior`` is the share of 1 among all labels."""
-    if labels.min(initial=1) == labels.max(initial=1) or not len(rows):
+    if len(np.unique(labels)) < 2:
         flat = np.zeros(SIZE, np.float32)
         return QualityModel(flat, flat, 0.0, 0.0, 20.0 if labels.min(initial=1) else -20.0)
     rng = np.random.default_rng(7)
