@@ -10,12 +10,13 @@
    edges as members.  The centre is the member with the most bucket mates
    over all bands: an original rather than one of its edited copies.
 4. Edges are verified on full sets; connected components follow.
-5. What the star can miss, a link between two members of a bucket that are
-   not in one component yet, is searched in further rounds with other
-   centres, and what is left then pair by pair, so that no candidate pair of
-   different components stays unverified.  Before that, members go that
-   provably have no link: those of whose shingles too few occur in any other
-   candidate.
+5. What the star can miss is a link between two members of a bucket that are
+   not in one component yet.  First, members go that provably have no further
+   link: too few of their shingles occur in any other candidate.  Then the
+   bucket's members outside its largest component are compared with all its
+   members, in blocks of bounded size, which return only links.  So no
+   candidate pair of different components stays unverified, and no pair is a
+   row.
 
 Defined cases: a null or empty text, or one without words, has an empty set
 and is linked with nothing; a text with fewer words than a shingle has the
@@ -29,18 +30,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import connected_components, materialize, ship, slices
+from .runtime import components_within, materialize, ship, slices
 from .textops import Words, arrow_buffers, distinct_per_doc, mix64, window_hashes
 
 BINS = 128
 ROWS = 5
 BANDS = BINS // ROWS
-#: Rounds with other centres before what is left is compared pair by pair.
-ROUNDS = 2
+#: Members of a bucket that meet in one block at most, about.
+BLOCK = 512
 
 _rng = np.random.default_rng(20240229)
 #: For each bin, the order in which it asks other bins when it is empty.
@@ -151,10 +153,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _linkable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Members of which enough shingles occur in another member of this table.
+    """Members that may have a link within their bucket.
 
-    A link needs 100 * shared >= percent * size, as shared shingles are at
-    most those that occur elsewhere.
+    Of two linked sets of sizes x and y, at least (x + y) * percent /
+    (100 + percent) shingles are shared.  A member shares at most those of its
+    shingles that occur in another set of this table, and the other set is
+    at least as large as the bucket's smallest, and as percent of its own.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,9 +173,12 @@ def _linkable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     spread = own.select("doc_id", "shingles").mapInArrow(rows, "rep long, s long")
     common = spread.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s")
     shared = spread.join(common, "s").groupBy("rep").agg(F.count("*").alias("shared"))
-    sizes = own.select(F.col("doc_id").alias("rep"), (F.octet_length("shingles") / 8).alias("size"))
-    good = shared.join(sizes, "rep").where(F.col("shared") * 100 >= F.col("size") * percent).select("rep")
-    return members.join(good, "rep", "left_semi")
+    sizes = own.select(F.col("doc_id").alias("rep"), (F.octet_length("shingles") / 8).cast("long").alias("size"))
+    known = members.join(shared.join(sizes, "rep"), "rep")
+    smallest = known.groupBy("key").agg(F.min("size").alias("smallest"))
+    other = F.greatest(F.col("smallest"), F.ceil(F.col("size") * percent / 100))
+    good = known.join(smallest, "key").where(F.col("shared") * (100 + percent) >= (F.col("size") + other) * percent)
+    return good.select(*members.columns)
 
 
 def _unresolved(members: DataFrame, parts: DataFrame) -> DataFrame:
@@ -182,6 +189,49 @@ def _unresolved(members: DataFrame, parts: DataFrame) -> DataFrame:
     return known.join(mixed, "key", "left_semi")
 
 
+def _across(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components of the same bucket.
+
+    Members outside their bucket's largest component meet all members.  Both
+    sides are dealt to blocks of about BLOCK rows, and each pair of blocks is
+    a group of its own, so a group is bounded however large the bucket is.
+    """
+    weights = left.groupBy("key", "component").agg(F.count("*").alias("w"))
+    main = weights.groupBy("key").agg(F.max(F.struct("w", "component")).alias("m"), F.sum("w").alias("n"))
+    main = main.withColumn("others", F.col("n") - F.col("m.w"))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    main = main.select("key", F.col("m.component").alias("main"), blocks("n").alias("bx"), F.greatest(blocks("others"), F.lit(1)).alias("by"))
+    met = left.join(main, "key").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    place = F.xxhash64("rep")
+    every = F.sequence(F.lit(0), F.col("by") - 1)
+    x = met.select("key", F.pmod(place, "bx").cast("int").alias("i"), F.explode(every).alias("j"), F.lit(False).alias("asks"), "rep", "component", "shingles")
+    every = F.sequence(F.lit(0), F.col("bx") - 1)
+    y = met.where("component <> main")
+    y = y.select("key", F.explode(every).alias("i"), F.pmod(place, "by").cast("int").alias("j"), F.lit(True).alias("asks"), "rep", "component", "shingles")
+
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        asks = block["asks"].to_numpy(bool)
+        own, other = block[asks], block[~asks]
+        a, b = [], []
+        if len(own) and len(other):
+            parts = [np.frombuffer(v, "<u8") for v in other["shingles"]]
+            size = np.array([len(v) for v in parts])
+            flat = np.concatenate(parts)
+            begins = np.cumsum(size) - size
+            reps, component = other["rep"].to_numpy(), other["component"].to_numpy()
+            for rep, c, data in zip(own["rep"], own["component"], own["shingles"], strict=True):
+                y = np.frombuffer(data, "<u8")
+                at = np.minimum(np.searchsorted(y, flat), len(y) - 1)
+                both = np.add.reduceat((y[at] == flat).astype(np.int64), begins)
+                good = (100 * both >= percent * (size + len(y) - both)) & (component != c)
+                for r in reps[good].tolist():
+                    a.append(min(r, rep))
+                    b.append(max(r, rep))
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return x.unionByName(y).groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+
+
 def _stars(members: DataFrame) -> DataFrame:
     """Each member with its bucket's centre: the most popular, then the smallest."""
     centre = members.groupBy("key").agg(F.max(F.struct("popularity", (-F.col("rep")).alias("least"))).alias("c"))
@@ -216,30 +266,13 @@ def near_duplicates(
 
     tested = materialize(_pairs(_stars(members)), "near-tested")
     links = materialize(verified(tested, sets, percent), "near-links")
-    parts = connected_components(links)
+    parts = components_within(links)
     left = materialize(_unresolved(members, parts), "near-left")
     if not left.isEmpty():
-        left = _unresolved(_linkable(left.drop("component"), sets, percent), parts)
-        left = materialize(left, "near-left")
-    for turn in range(ROUNDS + 1):
-        if left.isEmpty():
-            break
-        if turn < ROUNDS:
-            stars = materialize(_stars(left), "near-stars")
-            pairs = stars.join(left.select("key", F.col("rep").alias("centre"), F.col("component").alias("other")), ["key", "centre"])
-            pairs = _pairs(pairs.where("component <> other"))
-            left = stars.where("rep <> centre").drop("centre")
-        else:
-            x, y = left.alias("x"), left.alias("y")
-            pairs = x.join(y, F.expr("x.key = y.key and x.rep < y.rep and x.component <> y.component"))
-            pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-            left = left.limit(0)
-        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        found = materialize(verified(pairs, sets, percent), "near-links")
+        left = materialize(_unresolved(_linkable(left.drop("component"), sets, percent), parts), "near-left")
+        found = materialize(_across(left, sets, percent), "near-links")
         if not found.isEmpty():
-            links, tested = links.unionByName(found), tested.unionByName(pairs)
-            parts = connected_components(links)
-        left = materialize(_unresolved(left.drop("component"), parts), "near-left")
+            parts = components_within(links.unionByName(found))
 
     named = classes.select("hi", "lo", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("hi", "lo", F.coalesce("component", "rep").alias("component_id"))

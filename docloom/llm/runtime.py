@@ -101,29 +101,51 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     minimum and a join over the edges, so no group of neighbours is ever
     collected.  Nodes without edges don't appear.  Null ends are ignored.
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = materialize(e, name)
-    if e.isEmpty():
-        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     previous = None
     while True:
-        # Large star: strictly larger neighbours of x go to x's smallest neighbour or itself.
+        # Large star: larger neighbours of x go to x's smallest neighbour, or to x itself.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        # Small star: smaller neighbours of x, and x, go to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            low.select("u", F.col("m").alias("v"))
-        )
-        e = materialize(small.where("u <> v").distinct(), name)
-        state = e.agg(
-            F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")
-        ).first()
-        if previous is not None and tuple(state) == previous:
+        # Small star: smaller neighbours of x, and x itself, go to the smallest of them.
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), name)
+        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if not state[0] or tuple(state) == previous:
             break
         previous = tuple(state)
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct())
+
+
+def components_within(edges: DataFrame, name: str = "components", most: int = 500_000) -> DataFrame:
+    """The same for stored edges (a, b) of longs: by one task's union-find if there are at most ``most``.
+
+    The bound is checked by a count; more edges go the distributed way.  Both
+    give the same result.
+    """
+    if edges.count() > most:
+        return connected_components(edges, name)
+    ship(edges.sparkSession)
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = parent[up]
+                x = up
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = root(a), root(b)
+                parent[max(a, b)] = min(a, b)
+        nodes = list(parent)
+        columns = [pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["node", "component"])
+
+    one = edges.where("a <> b").select("a", "b").coalesce(1)
+    return materialize(one.mapInArrow(unite, "node long, component long"), name)
