@@ -255,8 +255,8 @@ def test_quality_is_accurate_on_the_held_out_fold(spark):
 def test_language(spark, odd):
     sf = "/root/testdata/sf0.001"
     got = queries.op7_language(spark, sf)
-    docs = got.where("doc_id is not null").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("lang").alias("true")), "doc_id")
-    assert docs.count() == 200 and docs.where("lang = true").count() >= 190
+    docs = got.where("doc_id is not null").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("lang").alias("truth")), "doc_id")
+    assert docs.count() == 200 and docs.where("lang = truth").count() >= 190
     assert got.where("page_id is not null").count() == 50
     # Fusion against plain arithmetic.
     model = langid.from_counts({"a": np.bincount([1, 1, 2], minlength=1 << langid.BITS), "b": np.bincount([3], minlength=1 << langid.BITS)})
