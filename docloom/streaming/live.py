@@ -133,6 +133,21 @@ def buffer(df: DataFrame, n: int, by: Sequence[str], order: str = "ts") -> DataF
     return _stateful(numbered, by, order, "seen long", step)
 
 
+def buffer_time(df: DataFrame, seconds: float, by: Sequence[str], order: str = "ts") -> DataFrame:
+    """Add ``batch_start``: a subscription's batches last ``seconds`` from their first event."""
+    span = pd.Timedelta(seconds=seconds)
+    marked = df.withColumn("batch_start", F.col(order))
+
+    def step(state, frame):
+        start, starts = (pd.Timestamp(state[0], unit="us") if state else None), []
+        for at in pd.to_datetime(frame[order]):
+            start = at if start is None or at - start >= span else start
+            starts.append(start)
+        return (start.value // 1000,), frame.assign(batch_start=starts), None
+
+    return _stateful(marked, by, order, "start long", step)
+
+
 def debounce(df: DataFrame, seconds: float, by: Sequence[str], order: str = "ts") -> DataFrame:
     """Emit a subscription's last event once ``seconds`` of silence have passed, by processing time.
 
@@ -187,4 +202,4 @@ def mapped(df: DataFrame, *columns: Column) -> DataFrame:
     return df.select(*columns)
 
 
-__all__ = ["Hub", "buffer", "debounce", "distinct", "mapped", "skip", "take", "throttle", "watch", "watch_collection", "watch_key", "watch_prefix", "where"]
+__all__ = ["Hub", "buffer", "buffer_time", "debounce", "distinct", "mapped", "skip", "take", "throttle", "watch", "watch_collection", "watch_key", "watch_prefix", "where"]

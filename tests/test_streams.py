@@ -44,7 +44,7 @@ def test_buffers(spark):
     assert [r.n for r in many.orderBy("ms").collect()] == list(range(999))
 
 
-@pytest.mark.parametrize("kind", ["throttle", "take", "skip", "distinct", "buffer"])
+@pytest.mark.parametrize("kind", ["throttle", "take", "skip", "distinct", "buffer", "buffer_time"])
 def test_streaming_agrees_with_batch(spark, tmp_path, kind):
     pairs = [(f"k{i % 3}", i * 7) for i in range(60)]
     df = events(spark, pairs).withColumn("type", F.when(F.col("ms") % 4 == 0, "x").otherwise("y"))
@@ -57,16 +57,12 @@ def test_streaming_agrees_with_batch(spark, tmp_path, kind):
         "skip": (lambda d: live.skip(d, 4, ["key"]), lambda d: batch.skip(d, 4, by=["key"])),
         "distinct": (lambda d: live.distinct(d, "type", ["key"]), lambda d: batch.distinct(d, "type", by=["key"])),
         "buffer": (lambda d: live.buffer(d, 4, ["key"]), lambda d: batch.numbered(d, 4, by=["key"])),
+        "buffer_time": (lambda d: live.buffer_time(d, 0.05, ["key"]), lambda d: batch.buffer_time(d, 0.05, by=["key"])),
     }
-    stream, plain = forms[kind]
     got = []
     hub = live.Hub()
-    for n in range(2):  # the second run goes on from the first one's checkpoint
-        source = spark.readStream.schema(schema).parquet(str(tmp_path / "in" / ("0" if n == 0 else "*")))
-        handle = lambda b, _: got.extend(map(tuple, b.collect()))
-        if n == 1:
-            break
-        hub.listen(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in")).transform(stream), handle, str(tmp_path / "ck")).awaitTermination()
-        del source
-    assert sorted(got) == sorted(map(tuple, plain(df).select(*stream(df).columns if False else plain(df).columns).collect()))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    made = forms[kind][0](stream)
+    hub.listen(made, lambda b, _: got.extend(map(tuple, b.collect())), str(tmp_path / "ck")).awaitTermination()
+    assert sorted(got) == sorted(map(tuple, forms[kind][1](df).select(*made.columns).collect()))
     hub.close()
