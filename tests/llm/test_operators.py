@@ -213,6 +213,23 @@ def test_lines(spark, odd, nothing):
     assert out[11].n_chars == len(out[11].text) and out[4].text == "" and out[5].text is None
 
 
+@pytest.mark.parametrize("least,most", [(1, 4), (5, 8), (9, 14)])
+@pytest.mark.parametrize("space", [" ", ""])
+def test_lines_recall_by_word_count(spark, least, most, space):
+    rng = np.random.default_rng(least)
+    texts = []
+    for _ in range(60):
+        line = space.join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzéß日"), 6)) for _ in range(int(rng.integers(least, most + 1))))
+        at = int(rng.integers(len(line)))
+        texts += [line, "x" + line, line + "x", "y" + line[1:], line[:at] + "z" + line[at + 1 :], line[:at] + "w" + line[at:]]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {(r.doc_id, r.line_no) for r in lines.duplicate_lines(df).where("kept").collect()}
+    want = brute_lines(rows, 80)
+    # Lines of up to lines.SMALL shingles are found exactly.
+    assert kept == want if most <= 8 else len(kept ^ want) <= 0.01 * len(want)
+
+
 def test_syncmers(spark, odd, nothing):
     assert syncmers.edit_experiment(nothing).count() == 0
     rows = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
