@@ -7,8 +7,9 @@ training position.  Documents are then range-sorted by position.
 
 Defined cases: a null text has size 0; a null source is a source of its own
 and comes last; documents of size 0 are taken 0 words; rows with equal ids
-are mixed each on its own; an empty table gives no rows.  Reruns agree: the
-order within a source is a hash of the id.
+are mixed each on its own, and so are those without an id; an empty table
+gives no rows.  Reruns agree: the order within a source is a hash of the id,
+and of the text where ids are equal.
 """
 
 from __future__ import annotations
@@ -81,6 +82,8 @@ def mix(
         F.col(id_column).alias("doc_id"),
         F.col(source_column).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_column), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64(text_column).alias("text_hash"),
+        *keep,
     )
     rows = materialize(rows, "mix-sizes")
     spark = docs.sparkSession
@@ -103,12 +106,12 @@ def mix(
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = counted.select("source", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
     bases = bases.join(F.broadcast(sources), bases.source.eqNullSafe(sources.source)).drop(sources.source)
-    within = Window.partitionBy("source", "bucket").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "bucket").orderBy("u", "doc_id", "size", "text_hash", *keep).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0))).alias("r")
     b = bases.alias("b")
     placed = placed.join(
         b, F.expr("r.source <=> b.source and r.bucket = b.bucket")
-    ).selectExpr("r.doc_id", "r.source", "r.size", "b.source_size", "b.target", "r.inner + b.base as begins", "b.knots", "b.heights")
+    ).selectExpr("r.doc_id", "r.source", "r.size", "b.source_size", "b.target", "r.inner + b.base as begins", "b.knots", "b.heights", *[f"r.`{c}`" for c in keep])
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     placed = placed.withColumn("passes", passes)
     rest = F.col("target") - F.col("passes") * F.col("source_size")
@@ -151,10 +154,10 @@ def _solve(p):
     return F.least(F.when(above > 0, t0 + F.lit(2.0) * above / (w0 + root)).otherwise(t0), F.lit(1.0))
 
 
-def schedule_copies(plan: DataFrame) -> DataFrame:
-    """One row per copy taken, with its position: (doc_id, copy, position, size)."""
+def schedule_copies(plan: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per copy taken, with its position: (doc_id, copy, position, size), and those in ``keep``."""
     each = plan.where("copies > 0").withColumn("copy", F.explode(F.expr("sequence(0, copies - 1)")))
-    return each.withColumn("position", _position(F.col("copy"))).select("doc_id", "copy", "position", "size")
+    return each.withColumn("position", _position(F.col("copy"))).select("doc_id", "copy", "position", "size", *keep)
 
 
 def range_sorted(rows: DataFrame, *columns: str) -> DataFrame:
@@ -164,6 +167,10 @@ def range_sorted(rows: DataFrame, *columns: str) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, schedule_of: Callable[[int], Schedule] | None = None, repeats: int = 3) -> DataFrame:
     """``docs``, all columns, each row as often as the mix takes it, sorted by training position."""
-    copies = schedule_copies(mix(docs, schedule_of, repeats)).select("doc_id", "copy", "position")
-    met = docs.join(copies, "doc_id")
-    return range_sorted(met, "position", "doc_id", "copy").select(*docs.columns)
+    # Ids may be null or repeated, so rows are known by a key that is stored with them.
+    keyed = docs.select(F.monotonically_increasing_id().alias("row_key"), F.struct("*").alias("document"))
+    keyed = materialize(keyed, "mix-documents")
+    plan = mix(keyed.select("row_key", "document.doc_id", "document.text", "document.source"), schedule_of, repeats, keep=["row_key"])
+    copies = schedule_copies(plan, keep=["row_key"]).select("row_key", "doc_id", "copy", "position")
+    met = keyed.join(copies, "row_key")
+    return range_sorted(met, "position", "doc_id", "copy", "row_key").select("document.*")

@@ -89,6 +89,25 @@ def test_mixing(spark, odd, nothing):
     assert positions == sorted(positions)
 
 
+def test_mixed_documents_with_null_and_repeated_ids(spark, odd, nothing):
+    assert mixing.mixed_documents(nothing).count() == 0
+    rows = [(i if i < 30 else None if i < 40 else 50, f"w{i} " * (i % 7 + 1), f"s{i % 2}", i) for i in range(48)]
+    rows += [rows[3], rows[3], (None, None, "s0", 90), (None, "lone", None, 91)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copy int").repartition(3)
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    got, times = collections.Counter(map(tuple, mixed.collect())), collections.Counter(rows)
+    assert set(got) <= set(rows) and all(n <= 3 * times[r] for r, n in got.items())
+    want = collections.Counter()
+    for r in mixing.mix(docs, keep=["copy"]).collect():
+        want[r["copy"]] += r.copies
+    assert collections.Counter(mixed.rdd.map(lambda r: r["copy"]).collect()) == +want
+    for source in ("s0", "s1", None):
+        target = mixing.mix(docs).where(F.col("source").eqNullSafe(source)).first().target
+        assert abs(sum(n * len((r[1] or "").split()) for r, n in got.items() if r[2] == source) - target) <= 7
+    assert any(r[0] is None for r in got)
+
+
 def test_warc(spark):
     rows = [(1, "u", "x" * 200), (2, None, "x" * 200), (3, "u", None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (7, "u", "é" * 60), (0, "u", "x" * 200), (8, "u", "y" * 3_000_000)]
     pages = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, payload_digest string, salt int")
