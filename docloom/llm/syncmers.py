@@ -7,6 +7,12 @@ s-mers, by hash, stands at its first or last place.  Whether it is one
 depends on its own units alone, so an edit changes syncmers only where it
 touches, and the same passage has the same anchors wherever it stands.
 
+A fingerprint has all anchors with their positions, so it grows with the
+text.  Two texts are compared by all anchors of both: an anchor matches one of
+the other text with the same hash that has the same next anchor at the same
+distance, each at most once.  So a passage still matches where it has moved as
+a whole, and equal anchors in other surroundings don't.
+
 Defined cases: a null text is empty; a text without units has no anchor and
 the empty fingerprint; a text with fewer units than a k-mer has its whole
 sequence as one anchor; two empty fingerprints are alike (1), an empty and
@@ -24,8 +30,6 @@ from .runtime import partitions
 
 K = 5
 S = 2
-#: Anchors that a fingerprint keeps: those with the smallest hashes.
-KEPT = 64
 
 #: Scripts written without spaces between words.
 _UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
@@ -66,26 +70,44 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
     return _bind(hashed, lambda h: _bind(inner(h), lambda m: pick(m, h)))
 
 
-def sketch(text: Column, k: int = K, s: int = S, kept: int = KEPT) -> Column:
-    """The ``kept`` smallest distinct anchor hashes, ascending."""
-    hashes = F.transform(anchors(text, k, s), lambda a: a["hash"])
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, kept)
+def links(found: Column) -> Column:
+    """Each anchor with the distance to its next one and that one's hash, as a hash."""
+
+    def link(x: Column, i: Column) -> Column:
+        following = F.get(found, i + 1)  # null after the last one, which a hash skips
+        return F.xxhash64(x["hash"], following["position"] - x["position"], following["hash"])
+
+    return F.transform(found, link)
+
+
+def render(found: Column) -> Column:
+    """Anchors as a string: for each the distance from the one before (the first: its position), a dot, its hash in 16 hexadecimal digits."""
 
+    def one(x: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.get(found, i - 1)["position"]).otherwise(F.lit(0))
+        return F.concat((x["position"] - before).cast("string"), F.lit("."), F.lpad(F.lower(F.hex(x["hash"])), 16, "0"))
 
-def render(hashes: Column) -> Column:
-    """A sketch as a string of 16 hexadecimal digits per anchor."""
-    return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
+    return F.array_join(F.transform(found, one), "")
 
 
-def likeness(a: Column, b: Column, kept: int = KEPT) -> Column:
-    """Estimated Jaccard similarity of two texts' anchors from their sketches."""
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two texts' anchors, matched by their links, repeats counted."""
+    # The lowest bit says whose a link is; sorted, equal links stand together, those of a first.
+    tagged = lambda links_, bit: F.transform(links_, lambda x: x.bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(bit)))
+    both = F.sort_array(F.concat(tagged(a, 0), tagged(b, 1)))
+    # ``open``: links of a equal to the present one that no link of b has matched yet.
+    start = F.struct(F.lit(0).cast("long").alias("link"), F.lit(0).alias("open"), F.lit(0).alias("matched"))
 
-    def compare(union: Column) -> Column:
-        low = F.slice(F.sort_array(union), 1, kept)
-        both = F.size(F.array_intersect(F.array_intersect(low, a), b))
-        return F.when(F.size(low) == 0, F.lit(1.0)).otherwise(both / F.size(low))
+    def step(state: Column, x: Column) -> Column:
+        link, own = x.bitwiseAND(F.lit(-2)), x.bitwiseAND(F.lit(1)) == 0
+        open_ = F.when(link == state["link"], state["open"]).otherwise(F.lit(0))
+        met = ~own & (open_ > 0)
+        left = F.when(own, open_ + 1).otherwise(F.when(met, open_ - 1).otherwise(F.lit(0)))
+        return F.struct(link.alias("link"), left.alias("open"), (state["matched"] + met.cast("int")).alias("matched"))
 
-    return _bind(F.array_union(a, b), compare)
+    matched = F.aggregate(both, start, step, lambda state: state["matched"])
+    total = F.size(a) + F.size(b)
+    return F.when(total == 0, F.lit(1.0)).otherwise(_bind(matched, lambda m: m / (total - m)))
 
 
 def _ring(rows: DataFrame, per_bucket: int) -> DataFrame:
@@ -127,23 +149,26 @@ def edit_experiment(docs: DataFrame, id_column: str = "doc_id", text_column: str
     document following the last.  One shuffle brings neighbours together.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    placed = _ring(rows, per_bucket).withColumn("sketch", sketch(F.col("text")))
+    # Anchors are found after the shuffle, which moves texts alone.
+    placed = _ring(rows, per_bucket).repartition("bucket").withColumn("anchors", anchors(F.col("text")))
+    placed = placed.withColumn("links", links(F.col("anchors")))
     order = Window.partitionBy("bucket").orderBy("guest", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
-    following = F.lead(F.struct("text", "sketch")).over(order)
+    following = F.lead(F.struct("text", "links")).over(order)
     met = placed.withColumn("following", following).where("not guest")
     # A lone document, and one in a bucket whose guest is a copy of its id, follows itself.
-    met = met.withColumn("following", F.coalesce("following", F.struct("text", "sketch")))
+    met = met.withColumn("following", F.coalesce("following", F.struct("text", "links")))
     met = met.withColumn("n_chars", F.char_length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     head = F.substring("text", F.lit(1), (F.col("n_chars") - cut).cast("int"))
     met = met.withColumn("edited", F.concat(head, F.substring(F.col("following.text"), F.lit(1), cut)))
-    met = met.withColumn("edited_sketch", sketch(F.col("edited")))
+    met = met.withColumn("edited_anchors", anchors(F.col("edited")))
+    met = met.withColumn("edited_links", links(F.col("edited_anchors")))
     return met.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        render(F.col("sketch")).alias("fingerprint"),
-        render(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("following.sketch")).alias("near_next"),
+        render(F.col("anchors")).alias("fingerprint"),
+        render(F.col("edited_anchors")).alias("edited_fingerprint"),
+        likeness(F.col("links"), F.col("edited_links")).alias("near_edited"),
+        likeness(F.col("links"), F.col("following.links")).alias("near_next"),
     )

@@ -268,6 +268,33 @@ def test_syncmers(spark, odd, nothing):
     assert {(p + 2, h) for p, h in left} <= right  # context-free: the same anchors, moved
 
 
+def test_syncmers_of_long_texts(spark):
+    """A few edits show in the fingerprint, and likeness counts all anchors by their links."""
+    rng = np.random.default_rng(2)
+    units = [f"u{n}" for n in rng.integers(0, 3000, 20000)]
+    few, moved = list(units), units[7000:] + units[:7000]
+    for at in rng.choice(20000, 5, replace=False):
+        few[at] = "edited"
+    texts = [" ".join(w) for w in (units, few, moved)] + ["same " * 300, "same " * 200, "a b c", "a b d", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("a", syncmers.anchors(F.col("t")))
+    df = df.select("i", "a", syncmers.links(F.col("a")).alias("l"), syncmers.render(F.col("a")).alias("f")).cache()
+    own = {r.i: r for r in df.collect()}
+    assert own[0].f != own[1].f and len(re.findall(r"\d+\.[0-9a-f]{16}", own[0].f)) == len(own[0].a) > 5000
+    x, y = df.alias("x"), df.alias("y")
+    got = x.crossJoin(y).select(F.col("x.i"), F.col("y.i").alias("j"), syncmers.likeness(F.col("x.l"), F.col("y.l")).alias("n")).collect()
+
+    def items(i):
+        a = own[i].a
+        return collections.Counter((p.hash, a[n + 1].hash, a[n + 1].position - p.position) if n + 1 < len(a) else (p.hash,) for n, p in enumerate(a))
+
+    for r in got:
+        p, q = items(r.i), items(r.j)
+        both, total = sum((p & q).values()), sum((p | q).values())
+        assert r.n == (both / total if total else 1.0), (r.i, r.j)
+    near = {(r.i, r.j): r.n for r in got}
+    assert 0.99 < near[0, 1] < 1 and near[0, 2] > 0.99 and near[3, 4] < 0.7 and near[5, 6] == near[0, 7] == 0
+
+
 def test_quality_scores(spark, odd, nothing):
     good = [(i, f"plain text number {i} with some calm words in it", 1) for i in range(40)]
     bad = [(100 + i, f"BUY!!! NOW!!! {i} $$$ ### %%%", 0) for i in range(40)]
