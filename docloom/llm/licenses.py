@@ -4,7 +4,9 @@ Templates are winnowed into an inverted index of fingerprints.  A document's
 own winnowed fingerprints pick candidates: a template and a diagonal.  Each
 candidate region is aligned with the template within a band around that
 diagonal, which gives the matched share of the template and the span in the
-text.  Any passage of K + WINDOW - 1 equal tokens is sure to be found.
+text.  Any passage of K + WINDOW - 1 equal tokens is sure to be found.  A
+template of up to SHORT tokens can be covered enough without one; its
+candidates are all stretches of text with enough of its tokens.
 
 Documents are scanned on their own, whole, in Arrow batches; only the
 templates' index, which doesn't grow with the data, goes to the workers.
@@ -32,6 +34,8 @@ from .textops import arrow_buffers, run_hashes, window_hashes
 K = 4
 WINDOW = 2
 BAND = 6
+#: Tokens of a template up to which candidates are found by counting.
+SHORT = 16
 #: Share of a template's tokens that a reported match covers at least.
 LEAST = 0.7
 
@@ -185,6 +189,29 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> tupl
     return best[1], best[2], best[3]
 
 
+def counted(hashed: np.ndarray, first: np.ndarray, template: np.ndarray, least: float) -> list[tuple[int, int, int]]:
+    """(text, place, shift) of a template's tokens in stretches with enough of them for a match."""
+    hits = np.flatnonzero(np.isin(hashed, template))
+    if not len(hits):
+        return []
+    doc = np.searchsorted(first, hits, side="right") - 1
+    # A match within the band is no longer than the template and the band's width.
+    stop = np.searchsorted(hits, np.minimum(hits + len(template) + 2 * BAND, first[doc + 1]))
+    begin, covered = np.arange(len(hits)), np.zeros(len(hits), np.int64)
+    for token, times in zip(*np.unique(template, return_counts=True), strict=True):
+        before = np.concatenate([[0], np.cumsum(hashed[hits] == token)])
+        covered += np.minimum(before[stop] - before[begin], times)
+    enough = np.flatnonzero(covered >= least * len(template))
+    change = np.zeros(len(hits) + 1, np.int64)
+    np.add.at(change, begin[enough], 1)
+    np.add.at(change, stop[enough], -1)
+    out = []
+    for i in np.flatnonzero(np.cumsum(change[:-1]) > 0).tolist():
+        place = int(hits[i] - first[doc[i]])
+        out += [(int(doc[i]), place, place - int(x)) for x in np.flatnonzero(template == hashed[hits[i]])]
+    return out
+
+
 def scan(column: pa.Array, index: TemplateIndex, least: float) -> list[tuple[int, str, int, int, float, int, int]]:
     """Matches in a batch: (row, template, matched, tokens, coverage, start, end), characters."""
     hashed, start, end, first, offsets = tokens(column)
@@ -194,27 +221,42 @@ def scan(column: pa.Array, index: TemplateIndex, least: float) -> list[tuple[int
     low = np.searchsorted(index.fingerprints, values[kept])
     low[low == len(index.fingerprints)] = 0
     hit = np.flatnonzero(index.fingerprints[low] == values[kept])
-    regions: dict[tuple[int, int], set[int]] = defaultdict(set)
+    # Of a text and a template: where a hit stands in the text and the template's shift.
+    regions: dict[tuple[int, int], set[tuple[int, int]]] = defaultdict(set)
     for p, x in zip(kept[hit].tolist(), low[hit].tolist(), strict=True):
         d = int(doc[p])
         while x < len(index.fingerprints) and index.fingerprints[x] == values[p]:
-            regions[d, int(index.template[x])].add(p - int(at[d]) - int(index.position[x]))
+            place = p - int(at[d])
+            regions[d, int(index.template[x])].add((place, place - int(index.position[x])))
             x += 1
+    for t, template in enumerate(index.token_hashes):
+        if len(template) <= SHORT:
+            for d, place, shift in counted(hashed, first, template, least):
+                regions[d, t].add((place, shift))
     out = []
-    for (d, t), shifts in sorted(regions.items()):
+    for (d, t), hits in sorted(regions.items()):
         text, template = hashed[first[d] : first[d + 1]], index.token_hashes[t]
-        taken: list[tuple[int, int]] = []
-        for shift in sorted(shifts):
-            if taken and taken[-1][0] - BAND <= shift <= taken[-1][0] + BAND:
-                continue  # the same region on a neighbouring diagonal
-            matched, a, b = align(template, text, shift, BAND)
-            if matched < least * len(template) or taken and a <= taken[-1][1]:
-                continue
-            taken.append((shift, b))
-            raw = (column[d].as_py() or "").encode()
-            low_, high_ = int(start[first[d] + a] - offsets[d]), int(end[first[d] + b] - offsets[d])
-            span = len(raw[:low_].decode()), len(raw[:high_].decode())
-            out.append((d, index.names[t], matched, len(template), matched / len(template), *span))
+        raw = None
+        last, tried = -1, set()
+        for place, shift in sorted(hits):
+            if place <= last or shift in tried:
+                continue  # within what is taken already, or in vain
+            tried.add(shift)
+            found, high = [], len(text)
+            # The best match may leave room for another one before it.
+            while high > last + 1:
+                matched, a, b = align(template, text[last + 1 : high], shift - last - 1, BAND)
+                if not matched or matched < least * len(template):
+                    break
+                found.append((matched, a + last + 1, b + last + 1))
+                high = a + last + 1
+            for matched, a, b in reversed(found):
+                raw = (column[d].as_py() or "").encode() if raw is None else raw
+                low_, high_ = int(start[first[d] + a] - offsets[d]), int(end[first[d] + b] - offsets[d])
+                span = len(raw[:low_].decode()), len(raw[:high_].decode())
+                out.append((d, index.names[t], matched, len(template), matched / len(template), *span))
+            if found:
+                last, tried = found[0][2], set()
     return out
 
 

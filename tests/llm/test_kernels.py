@@ -120,6 +120,16 @@ def test_targets_share_everything():
     assert [mixing.integral(s) for s in mixing.DEFAULT_SCHEDULES] == [1.0, 2.0, 3.0]
 
 
+def test_short_licenses_are_found_each():
+    index = licenses.TemplateIndex.build(licenses.TEMPLATES)
+    line = licenses.TEMPLATES["MIT-notice"]
+    texts = [" ".join([line] * n) for n in (1, 2, 10)] + ["Released under MIT License", "Released under an MIT License", "Released under MIT License. " + line, "the under the the license"]
+    found = [m for m in licenses.scan(pa.array(texts), index, 0.7) if m[1] == "MIT-notice"]
+    assert [sum(m[0] == i for m in found) for i in range(len(texts))] == [1, 2, 10, 1, 1, 2, 0]
+    assert [texts[2][m[5] : m[6]] for m in found if m[0] == 2] == [line[:-1]] * 10
+    assert [m[4] for m in found if m[0] in (3, 4)] == [0.8, 0.8]
+
+
 def test_license_alignment_finds_spans():
     index = licenses.TemplateIndex.build(licenses.TEMPLATES)
     text = "Überschrift! " + licenses.TEMPLATES["MIT"].replace("without restriction", "with no limits") + " tail. Released under the MIT License."
