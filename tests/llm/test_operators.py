@@ -249,6 +249,16 @@ def test_lines_recall_by_word_count(spark, least, most, space):
     assert kept == want if most <= 8 else len(kept ^ want) <= 0.01 * len(want)
 
 
+def test_lines_of_null_and_repeated_ids(spark):
+    near = "the quick brown fox jumps over the lazy dog near the river bank"
+    rows = [(1, near), (7, near + "\nshared tail line"), (7, "a line nobody else has at all\nanother own line"), (None, near + "s"), (None, near + "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lines.duplicate_lines(df).collect()
+    assert len(got) == 7 and sorted((r.doc_id or 0, r.line_no) for r in got if not r.kept) == [(0, 0), (0, 0), (7, 0)]
+    out = {tuple(r) for r in lines.drop_duplicate_lines(df).collect()}
+    assert out == {rows[0], (7, "shared tail line"), rows[2], rows[3], rows[4]}
+
+
 def test_syncmers(spark, odd, nothing):
     assert syncmers.edit_experiment(nothing).count() == 0
     rows = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
