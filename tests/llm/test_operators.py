@@ -224,7 +224,7 @@ def test_lines(spark, odd, nothing):
     assert len(got) == 40 * 7 + 2
     kept = {(r.doc_id, r.line_no) for r in got if r.kept and r.component_id is not None}
     want = brute_lines(rows, 80)
-    assert len(kept ^ want) <= 0.02 * len(want)
+    assert len(kept ^ want) <= 0.01 * len(want)
     assert all(r.kept for r in got if r.component_id is None)
     full = odd.where("doc_id is not null")
     out = {r.doc_id: r for r in lines.drop_duplicate_lines(full).collect()}
@@ -232,6 +232,34 @@ def test_lines(spark, odd, nothing):
     assert out[11].n_chars == len(out[11].text) and out[4].text == "" and out[5].text is None
 
 
+ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyzéß", "han": "".join(chr(0x4E00 + 37 * i) for i in range(400)), "thai": "".join(chr(0x0E01 + i) for i in range(46)), "digits": "0123456789"}
+
+
+def test_line_candidates_meet(spark):
+    """Of pairs at or over 0.8, at least 0.99 share a bucket: by words, length, script and place of the edit."""
+    rng = np.random.default_rng(8)
+    for letters in ALPHABETS.values():
+        for space in (" ", ""):
+            for words_, size in ((1, 12), (2, 8), (4, 7), (8, 5), (20, 6), (60, 6)):
+                pairs = []
+                while len(pairs) < 250:
+                    a = space.join("".join(rng.choice(list(letters), size)) for _ in range(words_))
+                    b = a
+                    for _ in range(int(rng.integers(1, 1 + max(1, len(a) // 45)))):
+                        at, new = int(rng.integers(len(b) + 1)), str(rng.choice(list(letters)))
+                        b = [b[:at] + new + b[at + 1 :], b[:at] + new + b[at:], b[:at] + b[at + 1 :]][int(rng.integers(3))]
+                    if rng.random() < 0.5:
+                        b = [str(rng.choice(list(letters))) + b[1:], b[:-1]][int(rng.integers(2))]
+                    x, y = ({t[i : i + 5] for i in range(len(t) - 4)} or {t} for t in (a, b))
+                    if a != b and 100 * len(x & y) >= 80 * len(x | y):
+                        pairs.append((a, b))
+                codes = lines._codes("".join(a + b for a, b in pairs))
+                ends = np.cumsum([len(t) for p in pairs for t in p])
+                keys = lines.band_keys(codes, np.append(0, ends[:-1]), ends)
+                met = (keys[::2] == keys[1::2]).any(1).mean()
+                assert met >= 0.99, (space, words_, size, met)
+
+
 @pytest.mark.parametrize("least,most", [(1, 4), (5, 8), (9, 14)])
 @pytest.mark.parametrize("space", [" ", ""])
 def test_lines_recall_by_word_count(spark, least, most, space):
@@ -245,8 +273,7 @@ def test_lines_recall_by_word_count(spark, least, most, space):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {(r.doc_id, r.line_no) for r in lines.duplicate_lines(df).where("kept").collect()}
     want = brute_lines(rows, 80)
-    # Lines of up to lines.SMALL shingles are found exactly.
-    assert kept == want if most <= 8 else len(kept ^ want) <= 0.01 * len(want)
+    assert len(kept ^ want) <= 0.01 * len(want)
 
 
 def test_lines_of_null_and_repeated_ids(spark):
@@ -256,7 +283,7 @@ def test_lines_of_null_and_repeated_ids(spark):
     got = lines.duplicate_lines(df).collect()
     assert len(got) == 7 and sorted((r.doc_id or 0, r.line_no) for r in got if not r.kept) == [(0, 0), (0, 0), (7, 0)]
     out = {tuple(r) for r in lines.drop_duplicate_lines(df).collect()}
-    assert out == {rows[0], (7, "shared tail line"), rows[2], rows[3], rows[4]}
+    assert out == {rows[0], (7, "shared tail line"), rows[2]}  # rows without an id lose their lines like others
 
 
 def test_syncmers(spark, odd, nothing):
