@@ -23,16 +23,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import connected_components, discard, materialize
+from .runtime import connected_components, discard, materialize, ship
 
 #: Rows, and bytes of payload, of either side of a block, about.
 BLOCK = 512
 BLOCK_BYTES = 4 << 20
+#: Pairs of a block up to which sets are met one by one.
+PAIRS = 256
 #: Columns of the shingle matrices that are multiplied at once.
 WIDTH = 4096
 
@@ -44,12 +45,39 @@ Components = Callable[[DataFrame, str], DataFrame]
 def bucket_members(keys: DataFrame, name: str) -> DataFrame:
     """(key, rep) of keys that more than one item has, stored; repeated rows count once.
 
-    One shuffle serves the count and the join.  A bucket is streamed, never
-    collected: its state is two numbers.
+    One shuffle and one sort; a row stays if its neighbour in the order of
+    (key, rep) has its key and another item.  So a bucket is streamed, never
+    collected, and a hot one costs its task time but no memory.
     """
-    dealt = keys.select("key", "rep").repartition("key")
-    shared = dealt.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
-    return materialize(dealt.join(shared, "key").dropDuplicates(["key", "rep"]), name)
+    ship(keys.sparkSession)
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((2, 0), np.int64)  # the last row, whose next neighbour isn't known yet
+        before = np.zeros((2, 0), np.int64)  # the row before that one
+
+        def judge(rows: np.ndarray) -> np.ndarray:
+            """Whether each row has the key of a neighbour."""
+            same = np.zeros(rows.shape[1] + 1, bool)
+            same[0] = before.shape[1] > 0 and before[0, 0] == rows[0, 0]
+            same[1:-1] = rows[0, 1:] == rows[0, :-1]
+            return same[:-1] | same[1:]
+
+        for batch in batches:
+            rows = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+            rows = np.concatenate([held, rows], 1)
+            fresh = np.ones(rows.shape[1], bool)  # repeats of one (key, rep) go before neighbours are judged
+            fresh[1:] = (rows[:, 1:] != rows[:, :-1]).any(0)
+            rows = rows[:, fresh]
+            keep = judge(rows)[:-1]
+            ready, held = rows[:, :-1], rows[:, -1:]
+            before = ready[:, -1:] if ready.shape[1] else before
+            yield pa.RecordBatch.from_arrays([pa.array(ready[0, keep]), pa.array(ready[1, keep])], names=["key", "rep"])
+        if held.shape[1]:
+            keep = judge(held)
+            yield pa.RecordBatch.from_arrays([pa.array(held[0, keep]), pa.array(held[1, keep])], names=["key", "rep"])
+
+    dealt = keys.select("key", "rep").repartition("key").sortWithinPartitions("key", "rep")
+    return materialize(dealt.mapInArrow(shared, "key long, rep long"), name)
 
 
 def popularity(members: DataFrame) -> DataFrame:
@@ -124,31 +152,41 @@ def unresolved(members: DataFrame, parts: DataFrame) -> DataFrame:
     return known.join(main, "key")
 
 
-def _similar_across(own: list, other: list, sets_of: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) of similar sets of two lists of payloads."""
-    values, ranges = sets_of(pa.array(own + other))
+def _similar_across(values: np.ndarray, ranges: np.ndarray, own: np.ndarray, other: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) in ``own`` and ``other``, numbers of sets, of similar sets."""
     size = np.diff(ranges)
-    row = np.repeat(np.arange(len(size)), size)
+    x, y = size[own], size[other]
+    if len(own) * len(other) <= PAIRS:
+        left, right = np.nonzero((100 * np.minimum.outer(x, y) >= percent * np.maximum.outer(x, y)) & (np.minimum.outer(x, y) > 0))
+        good = np.zeros(len(left), bool)
+        for n, (i, j) in enumerate(zip(left, right, strict=True)):
+            a, b = own[i], other[j]
+            both = _common(values[ranges[a] : ranges[a + 1]], values[ranges[b] : ranges[b + 1]])
+            good[n] = 100 * both >= percent * (x[i] + y[j] - both)
+        return left[good], right[good]
+    number = np.concatenate([own, other])
+    flat = np.concatenate([values[ranges[n] : ranges[n + 1]] for n in number])
+    row = np.repeat(np.arange(len(number)), size[number])
     # Only shingles that both sides have count.
-    _, column = np.unique(values, return_inverse=True)
+    _, column = np.unique(flat, return_inverse=True)
     left = row < len(own)
     seen = np.zeros((2, int(column.max(initial=-1)) + 1), bool)
     seen[0, column[left]] = True
     seen[1, column[~left]] = True
     shared = seen[0] & seen[1]
-    number = np.cumsum(shared) - 1
+    place = np.cumsum(shared) - 1
     use = shared[column]
-    row, column = row[use], number[column[use]]
+    row, column = row[use], place[column[use]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
+    width = min(WIDTH, int(shared.sum()))
     both = np.zeros((len(own), len(other)), np.float32)
-    for begin in range(0, int(shared.sum()), WIDTH):
-        a, b = np.searchsorted(column, (begin, begin + WIDTH))
-        matrix = np.zeros((len(size), WIDTH), np.float32)
+    for begin in range(0, int(shared.sum()), max(width, 1)):
+        a, b = np.searchsorted(column, (begin, begin + width))
+        matrix = np.zeros((len(number), width), np.float32)
         matrix[row[a:b], column[a:b] - begin] = 1
         both += matrix[: len(own)] @ matrix[len(own) :].T
-    x, y = size[: len(own), None], size[None, len(own) :]
-    return np.nonzero((100 * both >= percent * (x + y - both)) & (both > 0))
+    return np.nonzero((100 * both >= percent * (x[:, None] + y[None, :] - both)) & (both > 0))
 
 
 def across(left: DataFrame, items: DataFrame, sets_of: Sets, percent: int) -> DataFrame:
@@ -169,18 +207,50 @@ def across(left: DataFrame, items: DataFrame, sets_of: Sets, percent: int) -> Da
     all_ = met.select("key", F.pmod(place, "x").cast("int").alias("i"), F.explode(every("y")).alias("j"), F.lit(False).alias("asks"), *common)
     some = met.where(asks).select("key", F.explode(every("x")).alias("i"), F.pmod(place, "y").cast("int").alias("j"), F.lit(True).alias("asks"), *common)
 
-    def compare(block: pd.DataFrame) -> pd.DataFrame:
-        asking = block["asks"].to_numpy(bool)
-        component = block["component"].to_numpy(np.int64)
-        mine, theirs = component[asking], component[~asking]
-        found = np.zeros((0, 2), np.int64)
-        if len(mine) and len(theirs):
-            i, j = _similar_across(list(block["payload"][asking]), list(block["payload"][~asking]), sets_of, percent)
-            ends = np.stack([mine[i], theirs[j]], 1)
-            found = np.unique(np.sort(ends[ends[:, 0] != ends[:, 1]], axis=1), axis=0)
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
-
-    return all_.unionByName(some).groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _groups(batches, 3):
+            asking = block.column(3).to_numpy(zero_copy_only=False)
+            component = block.column(4).to_numpy()
+            keys = np.stack([block.column(i).to_numpy() for i in range(3)])
+            cuts = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0))).tolist() + [block.num_rows]
+            values, ranges = sets_of(block.column(5))
+            found = [np.zeros((0, 2), np.int64)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                own, other = a + np.flatnonzero(asking[a:b]), a + np.flatnonzero(~asking[a:b])
+                if len(own) and len(other):
+                    i, j = _similar_across(values, ranges, own, other, percent)
+                    ends = np.stack([component[own[i]], component[other[j]]], 1)
+                    found.append(np.sort(ends[ends[:, 0] != ends[:, 1]], axis=1))
+            ends = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
+
+    every_block = all_.unionByName(some).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return every_block.mapInArrow(compare, "a long, b long").distinct()
+
+
+def _groups(batches: Iterator[pa.RecordBatch], n: int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Whole groups of rows that agree in the first ``n`` columns and follow each other, several in one batch of about ``limit`` bytes."""
+    held: list[pa.RecordBatch] = []
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.nbytes for b in held) < limit:
+            continue
+        whole = joined()
+        keys = np.stack([whole.column(i).to_numpy() for i in range(n)])
+        begins = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+        if len(begins):
+            yield whole.slice(0, int(begins[-1]))
+            held = [whole.slice(int(begins[-1]))]
+        else:
+            held = [whole]
+    if held:
+        yield joined()
 
 
 def linked(
