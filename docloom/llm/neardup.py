@@ -6,23 +6,16 @@
 2. One permutation gives one minimum per bin; an empty bin borrows from a bin
    that its own fixed random order names first (optimal densification).
    Bands of bins are bucket keys.
-3. In a bucket, edges form a star around one centre, so there are as many
-   edges as members.  The centre is the member with the most bucket mates
-   over all bands: an original rather than one of its edited copies.
-4. Edges are verified on full sets; connected components follow.
-5. What the star can miss is a link between two members of a bucket that are
-   not in one component yet.  First, members go that provably have no further
-   link: too few of their shingles occur in any other candidate.  Then the
-   bucket's members outside its largest component are compared with all its
-   members, in blocks of bounded size, which return only links.  So no
-   candidate pair of different components stays unverified, and no pair is a
-   row.
+3. Members of a bucket are linked over a star, verified on full sets, and what
+   a star can miss is compared in blocks; connected components follow (see
+   ``linkage``).
 
 Defined cases: a null or empty text, or one without words, has an empty set
 and is linked with nothing; a text with fewer words than a shingle has the
 whole sequence as its one shingle; repeated rows of one id are one node; a
 null id is linked with nothing and kept; an empty table gives no rows;
-further columns are not read.
+further columns are not read.  A batch is cut at about 1 MB of text, so a
+longer text comes alone, and a block holds one set at least.
 """
 
 from __future__ import annotations
@@ -30,19 +23,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import linkage
 from .runtime import components_within, materialize, ship, slices
 from .textops import Words, arrow_buffers, distinct_per_doc, mix64, window_hashes
 
 BINS = 128
 ROWS = 5
 BANDS = BINS // ROWS
-#: Members of a bucket that meet in one block at most, about.
-BLOCK = 512
 
 _rng = np.random.default_rng(20240229)
 #: For each bin, the order in which it asks other bins when it is empty.
@@ -129,113 +120,10 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(build, "doc_id long, shingles binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough."""
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (left, right) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = (np.frombuffer(s.as_buffer(), "<u8") for s in (left, right))
-                if len(x) > len(y):
-                    x, y = y, x
-                if 100 * len(x) < percent * len(y) or not len(x):
-                    continue
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    met = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
-    return met.mapInArrow(compare, "a long, b long")
-
-
-def _linkable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Members that may have a link within their bucket.
-
-    Of two linked sets of sizes x and y, at least (x + y) * percent /
-    (100 + percent) shingles are shared.  A member shares at most those of its
-    shingles that occur in another set of this table, and the other set is
-    at least as large as the bucket's smallest, and as percent of its own.
-    """
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, data in zip(batch.column(0), batch.column(1), strict=True):
-                values = np.frombuffer(data.as_buffer(), "<i8")
-                ids = pa.array(np.full(len(values), doc.as_py()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(values)], names=["rep", "s"])
-
-    ids = members.select(F.col("rep").alias("doc_id")).distinct()
-    own = sets.join(ids, "doc_id", "left_semi")
-    spread = own.select("doc_id", "shingles").mapInArrow(rows, "rep long, s long")
-    common = spread.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s")
-    shared = spread.join(common, "s").groupBy("rep").agg(F.count("*").alias("shared"))
-    sizes = own.select(F.col("doc_id").alias("rep"), (F.octet_length("shingles") / 8).cast("long").alias("size"))
-    known = members.join(shared.join(sizes, "rep"), "rep")
-    smallest = known.groupBy("key").agg(F.min("size").alias("smallest"))
-    other = F.greatest(F.col("smallest"), F.ceil(F.col("size") * percent / 100))
-    good = known.join(smallest, "key").where(F.col("shared") * (100 + percent) >= (F.col("size") + other) * percent)
-    return good.select(*members.columns)
-
-
-def _unresolved(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one component, with these."""
-    known = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.withColumn("component", F.coalesce("component", "rep"))
-    mixed = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    return known.join(mixed, "key", "left_semi")
-
-
-def _across(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between different components of the same bucket.
-
-    Members outside their bucket's largest component meet all members.  Both
-    sides are dealt to blocks of about BLOCK rows, and each pair of blocks is
-    a group of its own, so a group is bounded however large the bucket is.
-    """
-    weights = left.groupBy("key", "component").agg(F.count("*").alias("w"))
-    main = weights.groupBy("key").agg(F.max(F.struct("w", "component")).alias("m"), F.sum("w").alias("n"))
-    main = main.withColumn("others", F.col("n") - F.col("m.w"))
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    main = main.select("key", F.col("m.component").alias("main"), blocks("n").alias("bx"), F.greatest(blocks("others"), F.lit(1)).alias("by"))
-    met = left.join(main, "key").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
-    place = F.xxhash64("rep")
-    every = F.sequence(F.lit(0), F.col("by") - 1)
-    x = met.select("key", F.pmod(place, "bx").cast("int").alias("i"), F.explode(every).alias("j"), F.lit(False).alias("asks"), "rep", "component", "shingles")
-    every = F.sequence(F.lit(0), F.col("bx") - 1)
-    y = met.where("component <> main")
-    y = y.select("key", F.explode(every).alias("i"), F.pmod(place, "by").cast("int").alias("j"), F.lit(True).alias("asks"), "rep", "component", "shingles")
-
-    def compare(block: pd.DataFrame) -> pd.DataFrame:
-        asks = block["asks"].to_numpy(bool)
-        own, other = block[asks], block[~asks]
-        a, b = [], []
-        if len(own) and len(other):
-            parts = [np.frombuffer(v, "<u8") for v in other["shingles"]]
-            size = np.array([len(v) for v in parts])
-            flat = np.concatenate(parts)
-            begins = np.cumsum(size) - size
-            reps, component = other["rep"].to_numpy(), other["component"].to_numpy()
-            for rep, c, data in zip(own["rep"], own["component"], own["shingles"], strict=True):
-                y = np.frombuffer(data, "<u8")
-                at = np.minimum(np.searchsorted(y, flat), len(y) - 1)
-                both = np.add.reduceat((y[at] == flat).astype(np.int64), begins)
-                good = (100 * both >= percent * (size + len(y) - both)) & (component != c)
-                for r in reps[good].tolist():
-                    a.append(min(r, rep))
-                    b.append(max(r, rep))
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-    return x.unionByName(y).groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
-
-
-def _stars(members: DataFrame) -> DataFrame:
-    """Each member with its bucket's centre: the most popular, then the smallest."""
-    centre = members.groupBy("key").agg(F.max(F.struct("popularity", (-F.col("rep")).alias("least"))).alias("c"))
-    return members.join(centre.select("key", (-F.col("c.least")).alias("centre")), "key")
+def stored_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sets back from what ``full_sets`` stored."""
+    cuts = np.cumsum([0, *(len(v.as_py()) // 8 for v in column)])
+    return np.frombuffer(b"".join(v.as_py() for v in column), "<u8"), cuts
 
 
 def near_duplicates(
@@ -255,24 +143,13 @@ def near_duplicates(
     least = usable.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "bands")).alias("m"))
     classes = materialize(least.select("hi", "lo", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands")), "near-classes")
 
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        ids = wanted.select(F.col("rep").alias("doc_id"))
+        own = full_sets(docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi"), k).dropDuplicates(["doc_id"])
+        return own.select(F.col("doc_id").alias("rep"), F.col("shingles").alias("payload"))
+
     keys = classes.select("rep", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(keys.join(shared, "key"), "near-members")
-    popular = members.groupBy("rep").agg(F.sum("n").alias("popularity"))
-    members = materialize(members.drop("n").join(popular, "rep"), "near-popular")
-
-    wanted = popular.select(F.col("rep").alias("doc_id"))
-    sets = materialize(full_sets(docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), k).dropDuplicates(["doc_id"]), "near-sets")
-
-    tested = materialize(_pairs(_stars(members)), "near-tested")
-    links = materialize(verified(tested, sets, percent), "near-links")
-    parts = components_within(links)
-    left = materialize(_unresolved(members, parts), "near-left")
-    if not left.isEmpty():
-        left = materialize(_unresolved(_linkable(left.drop("component"), sets, percent), parts), "near-left")
-        found = materialize(_across(left, sets, percent), "near-links")
-        if not found.isEmpty():
-            parts = components_within(links.unionByName(found))
+    parts = linkage.linked(keys, sets_of, stored_sets, percent, "near", components_within)
 
     named = classes.select("hi", "lo", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("hi", "lo", F.coalesce("component", "rep").alias("component_id"))
@@ -282,11 +159,6 @@ def near_duplicates(
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _pairs(stars: DataFrame) -> DataFrame:
-    pair = stars.where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
-    return pair.distinct()
-
-
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     """``docs``, all columns, with one document of each component."""
     gone = near_duplicates(docs, percent, k).where("not kept").select("doc_id").distinct()
