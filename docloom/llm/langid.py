@@ -13,9 +13,13 @@ Trigram tables are fitted on all labelled texts; each task counts, and the
 grouped counts, bounded by the hashed trigrams of each language, are the model.
 
 Defined cases: a null text has no trigrams, so the other evidence decides; a
-null or empty declaration, address or host counts as a value of its own; a
-label that is null takes no part in fitting; repeated rows count each; an
-empty table gives no rows; columns that aren't named are not read.
+null declaration, address or host counts as an empty one, which is a value of
+its own; a label that is null takes no part in fitting; without any label each
+language is null; more than ``MOST`` labels are an error; repeated rows count
+each; an empty table gives no rows; columns that aren't named are not read.
+Markup is read in time proportional to its length, also if tags, scripts or
+comments never end: such an opening is an ordinary tag, and a tag without an
+end is text.
 """
 
 from __future__ import annotations
@@ -39,19 +43,45 @@ EFFECTIVE = 40.0
 #: Pseudo-counts by which a host leans on its domain, and a domain on all rows.
 KAPPA = 20.0
 
-_DROPPED = re.compile(r"<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
-_TAG = re.compile(r"<[^>]*>")
+#: Labels that a model tells apart at most; each takes 2**BITS numbers.
+MOST = 256
+
+_OPENING = re.compile(r"<(?:(script|style|noscript)\b|(!--))", re.I)
+_CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript")} | {"!--": re.compile("-->")}
 
 
 def page_text(html: str | None) -> str:
     """The visible text of a page."""
-    return markup.unescape(_TAG.sub(" ", _DROPPED.sub(" ", html or "")))
+    html = html or ""
+    parts, at, endless = [], 0, set()
+    while (tag := html.find("<", at)) >= 0:
+        parts.append(html[at:tag])
+        opening = _OPENING.match(html, tag)
+        kind = (opening[1] or opening[2]).lower() if opening else None
+        end = -1
+        if kind and kind not in endless:
+            closing = _CLOSING[kind].search(html, opening.end())
+            if closing:
+                end = closing.end()
+            else:
+                endless.add(kind)
+        if end < 0:
+            end = html.find(">", tag) + 1
+            if not end:
+                at = tag
+                break
+        parts.append(" ")
+        at = end
+    parts.append(html[at:])
+    return markup.unescape("".join(parts))
 
 
 def declared_language(html: Column) -> Column:
-    """The primary tag of the page's ``lang`` attribute, lower case, or ''."""
-    tag = F.regexp_extract(html, r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z]+)", 1)
-    return F.lower(F.coalesce(tag, F.lit("")))
+    """The primary tag of the first html element's ``lang`` attribute, lower case, or ''."""
+    html = F.coalesce(html, F.lit(""))
+    begin = F.regexp_instr(html, F.lit(r"(?i)<html\b"))
+    tag = F.when(begin > 0, F.substring_index(F.substring(html, begin, F.char_length(html)), ">", 1)).otherwise(F.lit(""))
+    return F.lower(F.regexp_extract(tag, r"(?is)\slang\s*=\s*[\"']?([A-Za-z]+)", 1))
 
 
 def host_of(url: Column) -> Column:
@@ -101,6 +131,8 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def from_counts(counts: dict[str, np.ndarray]) -> TrigramModel:
     """Smoothed log probabilities from each language's trigram counts."""
     names = sorted(counts)
+    if not names:
+        return TrigramModel([], np.zeros((0, 1 << BITS), np.float32))
     table = np.stack([counts[n] for n in names]).astype(np.float64) + 0.1
     return TrigramModel(names, np.log(table / table.sum(1, keepdims=True)).astype(np.float32))
 
@@ -128,9 +160,10 @@ def train(labelled: DataFrame) -> TrigramModel:
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "number", "n"])
 
     rows = labelled.where("lang is not null").select("text", "lang").mapInArrow(count, "lang string, number long, n long")
-    out: dict[str, np.ndarray] = {r.lang: np.zeros(1 << BITS) for r in labelled.where("lang is not null").select("lang").distinct().collect()}
-    if not out:
-        raise ValueError("no labelled text to fit on")
+    labels = labelled.where("lang is not null").select("lang").distinct().limit(MOST + 1).collect()
+    if len(labels) > MOST:
+        raise ValueError(f"there are over {MOST} labels")
+    out: dict[str, np.ndarray] = {r.lang: np.zeros(1 << BITS) for r in labels}
     for r in rows.groupBy("lang", "number").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r.lang][r.number] = r.n
     return from_counts(out)
@@ -150,7 +183,7 @@ def text_evidence(rows: DataFrame, model: TrigramModel, is_markup: bool) -> Data
                 texts = pa.array([page_text(t) for t in texts.to_pylist()], pa.string())
             values, counts = model.likelihoods(texts)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.ravel()))
-            favoured = pa.array(np.where(counts > 0, values.argmax(1), -1).astype(np.int32))
+            favoured = pa.array(np.where(counts > 0, values.argmax(1) if model.languages else -1, -1).astype(np.int32))
             own = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*own, lists, pa.array(counts), favoured], names=[*kept, "likelihood", "trigrams", "favoured"])
 
@@ -170,6 +203,9 @@ def fuse(rows: DataFrame, model: TrigramModel) -> DataFrame:
     met again in joins of narrow rows that adaptive execution can split.
     """
     size = len(model.languages)
+    rows = rows.withColumns({c: F.coalesce(c, F.lit("")) for c in ("declared", "suffix", "domain", "host")})
+    if not size:
+        return rows.drop("likelihood", "favoured").withColumns({"lang": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double"), "text_lang": F.lit(None).cast("string")})
     rows = materialize(rows, "language-rows")
     total = rows.agg(*[F.sum((F.col("favoured") == j).cast("long")).alias(f"n{j}") for j in range(size)]).first()
     overall = np.array([float(total[j] or 0) + 1.0 for j in range(size)])
