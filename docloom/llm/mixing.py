@@ -8,7 +8,7 @@ training position.  Documents are then range-sorted by position.
 Defined cases: a null text has size 0; a null source is a source of its own
 and comes last; documents of size 0 are taken 0 words; rows with equal ids
 are mixed each on its own, and so are those without an id; an empty table
-gives no rows.  Reruns agree: the order within a source is a hash of the id,
+gives no rows; more than ``MOST_SOURCES`` sources are an error.  Reruns agree: the order within a source is a hash of the id,
 and of the text where ids are equal.
 """
 
@@ -24,6 +24,9 @@ from .runtime import materialize, partitions
 #: Weight over time as knots (time, weight), linear between them, from 0 to 1.
 Schedule = Sequence[tuple[float, float]]
 
+#: Sources that a mix takes at most; each has a row on the driver.
+MOST_SOURCES = 100_000
+
 WORDS = r"[^\x20\x09-\x0D]+"
 
 #: Schedules of the default curriculum, whose integrals are 1, 2 and 3.
@@ -55,7 +58,8 @@ def targets(sizes: Sequence[int], weights: Sequence[float], repeats: float) -> l
             break
         for i in over:
             out[i] = float(repeats * sizes[i])
-        open_ = [i for i in open_ if i not in set(over)]
+        gone = set(over)
+        open_ = [i for i in open_ if i not in gone]
         left -= sum(out[i] for i in over)
     return out
 
@@ -89,10 +93,12 @@ def mix(
     spark = docs.sparkSession
     total = rows.count()
     buckets = max(64, -(-total // 20_000))
-    rows = rows.withColumn("u", F.xxhash64(F.col("doc_id"), F.lit(17))).withColumn("bucket", F.pmod("u", F.lit(buckets)))
+    rows = rows.withColumn("u", F.xxhash64("doc_id", "text_hash", F.lit(17))).withColumn("bucket", F.pmod("u", F.lit(buckets)))
     counted = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     # One row per source on the driver: schedules are given per source there.
-    found = counted.groupBy("source").agg(F.sum("words").alias("words")).collect()
+    found = counted.groupBy("source").agg(F.sum("words").alias("words")).limit(MOST_SOURCES + 1).collect()
+    if len(found) > MOST_SOURCES:
+        raise ValueError(f"there are over {MOST_SOURCES} sources")
     found = sorted(found, key=lambda r: (r.source is None, r.source or ""))
     schedules = [schedule_of(i) for i in range(len(found))]
     goal = targets([int(r.words) for r in found], [integral(s) for s in schedules], repeats)
@@ -105,7 +111,7 @@ def mix(
     )
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = counted.select("source", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-    bases = bases.join(F.broadcast(sources), bases.source.eqNullSafe(sources.source)).drop(sources.source)
+    bases = bases.join(sources, bases.source.eqNullSafe(sources.source)).drop(sources.source)
     within = Window.partitionBy("source", "bucket").orderBy("u", "doc_id", "size", "text_hash", *keep).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0))).alias("r")
     b = bases.alias("b")
