@@ -8,8 +8,10 @@ stops when no unseen row can beat its kth result.
 
 Defined cases: vectors that are null, or hold a null or a non-finite
 component, take no part, nor do those whose length differs from the most
-common one; ties go to the smaller id; with fewer than k candidates all are
-returned; an empty table gives no rows.
+common one; rows of equal id and vector count once; rows that share an id but
+not a vector are candidates each, and share one ranking as queries; ties go to
+the smaller id; with fewer than k candidates all are returned; an empty table
+gives no rows.  Scores are exact up to 2**53.
 """
 
 from __future__ import annotations
@@ -105,7 +107,7 @@ def top_k(
     sound = F.col("x").isNotNull() & F.col("vec_id").isNotNull() & (F.size("x") > 0)
     sound &= F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     rows = rows.where(sound).select("vec_id", F.transform("x", lambda v: F.floor(v * F.lit(scale))).alias("x"))
-    rows = materialize(rows, "vectors")
+    rows = materialize(rows.dropDuplicates(["vec_id", "x"]), "vectors")
     lengths = rows.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n"), F.sum(is_query.cast("long")).alias("q"))
     common = lengths.orderBy(F.desc("n"), "d").first()
     if common is None:
