@@ -6,8 +6,9 @@ and payload digests.  It holds one record at a time.
 
 Defined cases: a null payload is empty; payloads under ``least`` bytes are
 never deduplicated; of equal payloads the smallest id (nulls last) is the
-response; an empty table gives no archive and no rows; further columns are
-not read.
+response, in each row that has that id; rows that repeat an id are a record
+each; a page is held whole, once, so memory follows the longest page; an empty
+table gives no archive and no rows; further columns are not read.
 """
 
 from __future__ import annotations
