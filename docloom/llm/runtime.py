@@ -7,6 +7,7 @@ the lineage, and it survives the loss of any executor.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -81,6 +82,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trim() -> None:
+    """Give a worker's freed memory back: workers are kept, and one stage's peak would stay beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that ``column`` holds about ``limit`` bytes each.
 
@@ -100,6 +110,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20)
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
+        del batch, data, offsets
+        trim()
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
