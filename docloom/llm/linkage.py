@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import connected_components, discard, materialize, ship
+from .runtime import connected_components, discard, materialize, ship, trim
 
 #: Rows, and bytes of payload, of either side of a block, about.
 BLOCK = 512
@@ -43,40 +43,52 @@ Components = Callable[[DataFrame, str], DataFrame]
 
 
 def bucket_members(keys: DataFrame, name: str) -> DataFrame:
-    """(key, rep) of keys that more than one item has, stored; repeated rows count once.
+    """(key, rep) of keys that more than one item has, stored; rows may repeat.
 
-    One shuffle and one sort; a row stays if its neighbour in the order of
-    (key, rep) has its key and another item.  So a bucket is streamed, never
-    collected, and a hot one costs its task time but no memory.
+    One shuffle, and one sort by a single number.  A bucket is streamed, never
+    collected: what is known of it is its key, its first item, and whether
+    there has been another.  So a hot bucket costs its task time but no memory.
     """
     ship(keys.sparkSession)
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((2, 0), np.int64)  # the last row, whose next neighbour isn't known yet
-        before = np.zeros((2, 0), np.int64)  # the row before that one
-
-        def judge(rows: np.ndarray) -> np.ndarray:
-            """Whether each row has the key of a neighbour."""
-            same = np.zeros(rows.shape[1] + 1, bool)
-            same[0] = before.shape[1] > 0 and before[0, 0] == rows[0, 0]
-            same[1:-1] = rows[0, 1:] == rows[0, :-1]
-            return same[:-1] | same[1:]
+    def beside(x: np.ndarray) -> np.ndarray:
+        """Whether a value equals its neighbour."""
+        out = np.zeros(len(x), bool)
+        same = x[1:] == x[:-1]
+        out[1:] |= same
+        out[:-1] |= same
+        return out
 
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The bucket that the last batch ended in: key, first item, whether it is out already.
+        last: tuple[int, int, bool] | None = None
         for batch in batches:
-            rows = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
-            rows = np.concatenate([held, rows], 1)
-            fresh = np.ones(rows.shape[1], bool)  # repeats of one (key, rep) go before neighbours are judged
-            fresh[1:] = (rows[:, 1:] != rows[:, :-1]).any(0)
-            rows = rows[:, fresh]
-            keep = judge(rows)[:-1]
-            ready, held = rows[:, :-1], rows[:, -1:]
-            before = ready[:, -1:] if ready.shape[1] else before
-            yield pa.RecordBatch.from_arrays([pa.array(ready[0, keep]), pa.array(ready[1, keep])], names=["key", "rep"])
-        if held.shape[1]:
-            keep = judge(held)
-            yield pa.RecordBatch.from_arrays([pa.array(held[0, keep]), pa.array(held[1, keep])], names=["key", "rep"])
-
-    dealt = keys.select("key", "rep").repartition("key").sortWithinPartitions("key", "rep")
+            key, rep = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(key):
+                continue
+            goes_on = last is not None and key[0] == last[0]
+            if goes_on and not last[2]:
+                key, rep = np.append(last[0], key), np.append(last[1], rep)
+            some = beside(key)
+            if goes_on and last[2]:
+                some |= key == last[0]
+            # Few rows are left: those of keys that stand twice.
+            at = np.flatnonzero(some)
+            at = at[np.lexsort((rep[at], key[at]))]
+            k, r = key[at], rep[at]
+            fresh = np.ones(len(at), bool)
+            fresh[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1])
+            k, r = k[fresh], r[fresh]
+            keep = beside(k)
+            if goes_on and last[2]:
+                keep |= k == last[0]
+            end = int(key[-1])
+            out = bool(len(k) and k[keep].size and k[keep][-1] == end) or goes_on and last[2] and end == last[0]
+            last = (end, int(rep[-1]), out)
+            yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(r[keep])], names=["key", "rep"])
+        trim()
+
+    dealt = keys.select("key", "rep").repartition("key").sortWithinPartitions("key")
     return materialize(dealt.mapInArrow(shared, "key long, rep long"), name)
 
 
@@ -140,6 +152,8 @@ def _bounded(batch: pa.RecordBatch, columns: tuple[str, ...]) -> Iterator[pa.Rec
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (2 << 20), side="right")))
         yield batch.slice(at, to - at)
         at = to
+    del batch, total
+    trim()
 
 
 def unresolved(members: DataFrame, parts: DataFrame) -> DataFrame:
@@ -251,6 +265,8 @@ def _groups(batches: Iterator[pa.RecordBatch], n: int, limit: int = 2 << 20) ->
             held = [whole]
     if held:
         yield joined()
+    del held
+    trim()
 
 
 def linked(
