@@ -67,6 +67,60 @@ def test_packing(spark, odd, nothing):
     assert (pieces.doc_id == 6).sum() == 2 and pieces.doc_id.isna().sum() == 1
 
 
+def test_packing_against_the_library_and_plain_best_fit(spark):
+    import bisect
+    import zlib
+
+    import tokenizers
+
+    sf = "/root/testdata/sf0.001"
+    library = tokenizers.Tokenizer.from_file(queries.tokenizer_file())
+    want, lengths = {}, []
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 0]
+        for n, start in enumerate(range(0, len(ids), 2048)):
+            part = np.array(ids[start : start + 2048], "<u4")
+            want[r.doc_id, n] = (start, len(part), zlib.crc32(part.tobytes()))
+            lengths.append(len(part))
+    got = queries.op1_best_fit_packing(spark, sf).collect()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)
+    free: list[int] = []  # of each open sequence, sorted
+    for n in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(free, n)
+        space = free.pop(at) if at < len(free) else 2048
+        bisect.insort(free, space - n)
+    assert len({r.sequence_id for r in got}) == len(free)
+
+
+def test_mixing_query_against_plain_arithmetic(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for i, r in docs.items()}
+    own = collections.Counter()
+    for i, r in docs.items():
+        own[r.source] += size[i]
+    names = sorted(own, key=lambda s: (s is None, s or ""))
+    weight = {s: n % 3 + 1 for n, s in enumerate(names)}
+    target, open_ = {}, set(names)
+    while open_:
+        left = sum(own.values()) - sum(target.values())
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = {s for s in open_ if share[s] > 3 * own[s]}
+        target |= {s: 3 * own[s] for s in over} if over else share
+        open_ -= over or open_
+    got = queries.op10_mixing(spark, sf).collect()
+    assert len(got) == len(docs)
+    taken = collections.Counter()
+    for r in got:
+        s = docs[r.doc_id].source
+        assert (r.size, r.source_size) == (size[r.doc_id], own[s]) and abs(r.target - target[s]) < 1e-6
+        whole = int(target[s] // own[s])
+        assert r.taken in ((whole * r.size, (whole + 1) * r.size) if whole < 3 else (3 * r.size,))
+        taken[s] += r.taken
+    largest = {s: max(size[i] for i in docs if docs[i].source == s) for s in names}
+    assert all(abs(taken[s] - target[s]) <= largest[s] for s in names)
+
+
 def test_mixing(spark, odd, nothing):
     assert mixing.mix(nothing).count() == 0
     plan = mixing.mix(odd).toPandas()
@@ -117,12 +171,16 @@ def test_warc(spark):
         assert (got[i].payload_bytes, got[i].payload_digest) == (len(data), hashlib.sha256(data).hexdigest())
         assert got[i].record_type == "response" and bytes(got[i].payload) == data if i not in (1, 2) else got[i].refers_to == 0
     assert warc.round_trip(pages.limit(0)).count() == 0
+    # Repeated rows of one id: the smallest id is the response, in each of its rows; so the ids' records agree.
+    again = [(r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(pages.unionByName(pages.where("page_id in (0, 1)"))).collect()]
+    assert sorted(again) == sorted([(i, got[i].record_type, got[i].refers_to) for i in got] + [(0, "response", None), (1, "revisit", 0)])
 
 
 def test_topk(spark):
     vectors = [(i, [float(i % 7) / 10, -0.3, 0.5]) for i in range(120)]
     vectors += [(200, None), (250, [0.1, None, 0.2]), (300, [float("nan"), 0.0, 0.0]), (350, [float("inf"), 0.0, 0.0]), (400, [0.1])]
     df = spark.createDataFrame([(i, v, "x") for i, v in vectors], "vec_id long, embedding array<float>, rank string")
+    df = df.unionByName(df.where("vec_id in (0, 7, 50)"))  # equal rows count once
     got = collections.defaultdict(list)
     for r in topk.top_k(df, F.col("vec_id") % 50 == 0, 5, block=16, query_block=2).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r["vec_id"], r.score))
@@ -384,6 +442,30 @@ def test_language(spark, odd):
         assert abs(fused[i].confidence - 1 / np.exp(score - score.max()).sum()) < 1e-9
 
 
+def test_language_without_rows_labels_or_hosts(spark, odd, nothing):
+    empty = langid.train(nothing.select("text", "lang"))
+    rows = langid.document_rows(odd)
+    blank = langid.fuse(langid.text_evidence(rows, empty, False), empty).collect()
+    assert len(blank) == 16 and all(r.lang is None and r.confidence is None for r in blank)
+    model = langid.train(odd.select("text", "lang"))
+    assert langid.fuse(langid.text_evidence(langid.document_rows(nothing), model, False), model).count() == 0
+    pages = spark.createDataFrame([(1, None, None), (2, "http://a.fr/x", "<html lang='FR-fr'><p>one two"), (None, "no address", "<html"), (4, None, "")], "page_id long, url string, html string")
+    found = langid.fuse(langid.text_evidence(langid.page_rows(pages), model, True), model).collect()
+    assert len(found) == 4 and all(r.lang in ("en", "fr") and 0 < r.confidence <= 1 for r in found)
+    assert {r.page_id: r.declared for r in langid.page_rows(pages).collect()} == {1: "", 2: "fr", None: "", 4: ""}
+    nulled = rows.withColumns({c: F.lit(None).cast("string") for c in ("declared", "suffix", "domain", "host")})
+    assert langid.fuse(langid.text_evidence(nulled, model, False), model).where("lang is not null").count() == 16
+
+
+def test_language_is_accurate_on_texts_it_was_not_fitted_to(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = quality.fold(F.col("doc_id")) == 2
+    model = langid.train(docs.where(~held).select("text", "lang"))
+    rows = langid.document_rows(docs.where(held))
+    got = langid.fuse(langid.text_evidence(rows, model, False), model).join(docs.select("doc_id", F.col("lang").alias("truth")), "doc_id")
+    assert got.where("lang = truth").count() >= 0.95 * got.where("truth is not null").count()
+
+
 def test_licenses(spark, odd, nothing):
     got = licenses.license_matches(odd).collect()
     assert [(r.doc_id, r.license, r.coverage) for r in got] == [(14, "MIT-notice", 1.0)]
