@@ -16,8 +16,11 @@ from .functions import exprs, scalar
 from .operators.aggregate import Aggregation
 from .operators.join import flat_join
 from .plans.query import Collection, DocQuery, typed
-from .sources import kv
+from .sources import archive, kv
+from .sources.store import Store, scratch_folder
+from .sources.typed import TypedCollection
 from .streaming import batch
+from .values import compare_values, encode, values_equal
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -502,3 +505,239 @@ def _(spark, d):
 
 
 __all__ = ["ORACLE_SQL", "QUERIES", "Aggregation", "flagship"]
+
+
+# ---- the store ------------------------------------------------------------
+
+_stores: dict[tuple[str, str], Store] = {}
+
+CUSTOMERS = "(SELECT 'customers:' || c_custkey AS key, CAST(c_custkey AS VARCHAR) AS id, c_name AS name, c_nationkey AS nation, c_acctbal AS balance FROM customer) t"
+
+
+def _customer_rows(spark: SparkSession, d: str) -> DataFrame:
+    doc = F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance")))
+    return table(spark, d, "customer").select(F.concat(F.lit("customers:"), F.col("c_custkey").cast("string")).alias("key"), doc.alias("value"))
+
+
+def _new_store(spark: SparkSession, d: str, indexes: tuple[tuple[str, ...], ...] = ()) -> Store:
+    """All customers as documents, in a store of its own."""
+    store = Store(spark, scratch_folder(spark))
+    store.append(_customer_rows(spark, d))
+    for fields in indexes:
+        store.create_index("customers", fields)
+    return store
+
+
+def _read_store(spark: SparkSession, d: str) -> Store:
+    """The same, shared by queries that only read."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _stores:
+        _stores[key] = _new_store(spark, d, (("nation",), ("nation", "balance")))
+    return _stores[key]
+
+
+def _fields(df: DataFrame, key: str = "key", doc: str = "value") -> DataFrame:
+    """Keys and the documents' fields as columns."""
+    get = lambda path, kind: F.try_variant_get(F.col(doc), f"$.{path}", kind).alias(path)
+    return df.select(F.col(key).alias("key"), get("name", "string"), get("nation", "long"), get("balance", "double"))
+
+
+@_register("store_scan", f"SELECT key, name, nation, balance FROM {CUSTOMERS} WHERE key >= 'customers:1' AND key < 'customers:3' ORDER BY key LIMIT 40")
+def _(spark, d):
+    return _fields(_read_store(spark, d).scan("customers:1", "customers:3", limit=40))
+
+
+@_register("store_scan_prefix", f"SELECT key, name, nation, balance FROM {CUSTOMERS} WHERE starts_with(key, 'customers:12')")
+def _(spark, d):
+    return _fields(_read_store(spark, d).scan_prefix("customers:12"))
+
+
+@_register("store_range", f"SELECT key FROM {CUSTOMERS} WHERE key < 'customers:2' ORDER BY key DESC LIMIT 15")
+def _(spark, d):
+    found = _read_store(spark, d).range(None, "customers:2", limit=15, reverse=True)
+    return spark.createDataFrame([(k,) for k, _ in found], "key string")
+
+
+@_register("store_exists", f"SELECT k AS key, count(t.key) > 0 AS found FROM (VALUES ('customers:1'), ('customers:0'), ('customers:7')) v(k) LEFT JOIN {CUSTOMERS} ON t.key = v.k GROUP BY k")
+def _(spark, d):
+    store = _read_store(spark, d)
+    return spark.createDataFrame([(k, store.exists(k)) for k in ("customers:1", "customers:0", "customers:7")], "key string, found boolean")
+
+
+@_register("store_documents", f"SELECT id AS key, name, nation, balance FROM {CUSTOMERS}")
+def _(spark, d):
+    return _fields(_read_store(spark, d).scan_documents("customers"), "_id", "doc")
+
+
+@_register("store_document_ids", f"SELECT id FROM {CUSTOMERS}")
+def _(spark, d):
+    return _read_store(spark, d).scan_document_ids("customers").select(F.col("_id").alias("id"))
+
+
+@_register("store_get_document", f"SELECT name, CAST(nation AS BIGINT) AS nation, balance FROM {CUSTOMERS} WHERE id = '5'")
+def _(spark, d):
+    doc = _read_store(spark, d).document("customers", "5")
+    return spark.createDataFrame([(doc["name"], doc["nation"], float(doc["balance"]))], "name string, nation long, balance double")
+
+
+@_register("store_count", f"SELECT count(*) AS n, count(*) FILTER (WHERE starts_with(key, 'customers:1')) AS some FROM {CUSTOMERS}")
+def _(spark, d):
+    store = _read_store(spark, d)
+    return spark.createDataFrame([(store.count(), store.count("customers:1*"))], "n long, some long")
+
+
+@_register("store_clear", f"SELECT count(*) AS cleared, 0::BIGINT AS n FROM {CUSTOMERS}")
+def _(spark, d):
+    store = _new_store(spark, d)
+    return spark.createDataFrame([(store.clear(), store.count())], "cleared long, n long")
+
+
+@_register("store_info", "SELECT count(*) AS entries, 1::BIGINT AS segments, 2::BIGINT AS indexes FROM customer")
+def _(spark, d):
+    info = _read_store(spark, d).info()
+    return spark.createDataFrame([(info["entries"], info["segments"], len(info["indexes"]))], "entries long, segments long, indexes long")
+
+
+@_register("typed_collection", f"SELECT id, name, nation FROM {CUSTOMERS} WHERE nation >= 20 AND balance > 0")
+def _(spark, d):
+    typed_ = TypedCollection(_read_store(spark, d), "customers", "name string, nation int, balance double")
+    return typed_.query().where_greater_than_or_equal("nation", 20).where_greater_than("balance", 0).to_df().select(F.col("_id").alias("id"), "name", "nation")
+
+
+@_register("export_import", f"SELECT key, name, nation, balance FROM {CUSTOMERS}")
+def _(spark, d):
+    folder = scratch_folder(spark)
+    archive.export_to(_read_store(spark, d), f"{folder}/archive")
+    store = archive.import_from(spark, f"{folder}/archive", f"{folder}/imported")
+    return _fields(store.scan())
+
+
+@_register(
+    "store_writes",
+    f"""SELECT key, CASE key WHEN 'customers:2' THEN 'new' ELSE name END AS name, CASE key WHEN 'customers:2' THEN 1 ELSE nation END AS nation,
+    CASE key WHEN 'customers:2' THEN 0.5 ELSE balance END AS balance FROM {CUSTOMERS} WHERE key NOT IN ('customers:1', 'customers:3', 'customers:4')
+    UNION ALL SELECT 'customers:x', 'put', 2, 1.5""",
+)
+def _(spark, d):
+    store = _new_store(spark, d)
+    store.put("customers:x", {"name": "put", "nation": 2, "balance": 1.5})
+    store.delete("customers:1")
+    store.put_batch({"customers:2": {"name": "new", "nation": 1, "balance": 0.5}, "customers:gone": {"name": "late"}}, expires_at=None)
+    store.delete_batch(["customers:3", "customers:4", "customers:gone"])
+    return _fields(store.scan())
+
+
+@_register("store_update", f"SELECT key, name, CASE WHEN nation = 3 THEN 99 ELSE nation END AS nation, balance FROM {CUSTOMERS}")
+def _(spark, d):
+    store = _new_store(spark, d, (("nation",),))
+    store.query("customers").where_equals("nation", 3).update({"nation": 99})
+    return _fields(store.scan())
+
+
+@_register(
+    "store_delete_window",
+    f"SELECT key, name, nation, balance FROM {CUSTOMERS} WHERE key NOT IN (SELECT key FROM {CUSTOMERS} WHERE nation > 10 ORDER BY balance DESC, id LIMIT 25 OFFSET 5)",
+)
+def _(spark, d):
+    store = _new_store(spark, d)
+    store.query("customers").where_greater_than("nation", 10).order_by("balance", descending=True).offset(5).limit(25).delete()
+    return _fields(store.scan())
+
+
+@_register("purge_expired", f"SELECT key FROM {CUSTOMERS} WHERE nation <> 4 UNION ALL SELECT 'purged ' || count(*) FROM {CUSTOMERS} WHERE nation = 4")
+def _(spark, d):
+    store = Store(spark, scratch_folder(spark))
+    gone = F.when(F.get_json_object("value", "$.nation") == "4", F.lit(datetime(2001, 1, 1)))
+    store.append(_customer_rows(spark, d).withColumn("expires_at", gone))
+    n = store.purge_expired()
+    return store.keys().unionByName(spark.createDataFrame([(f"purged {n}",)], "key string"))
+
+
+@_register("compare_and_swap", "SELECT * FROM (VALUES (true, false, '2')) v(first, second, value)")
+def _(spark, d):
+    store = Store(spark, scratch_folder(spark))
+    store.put("n", 1)
+    first, second = store.compare_and_swap("n", 1.0, 2), store.compare_and_swap("n", 1, 3)
+    return spark.createDataFrame([(first, second, str(store.get("n")))], "first boolean, second boolean, value string")
+
+
+@_register("transaction", f"SELECT key, CASE key WHEN 'customers:1' THEN balance + 10 WHEN 'customers:2' THEN balance - 10 ELSE balance END AS balance FROM {CUSTOMERS}")
+def _(spark, d):
+    store = _new_store(spark, d)
+
+    def move(tx):
+        for identity, change in (("1", 10), ("2", -10)):
+            doc = tx.get(f"customers:{identity}")
+            tx.put(f"customers:{identity}", doc | {"balance": doc["balance"] + change})
+
+    store.transaction(move)
+    return _fields(store.scan()).select("key", "balance")
+
+
+def _by_index(name: str, sql: str, ask: Callable[[DocQuery], DocQuery]) -> None:
+    @_register(name, f"SELECT id FROM {CUSTOMERS} WHERE {sql}")
+    def _(spark, d):
+        return ask(_read_store(spark, d).query("customers")).to_df().select(F.col("_id").alias("id"))
+
+
+_by_index("index_equals", "nation = 7", lambda q: q.where_equals("nation", 7))
+_by_index("index_range", "nation BETWEEN 5 AND 8", lambda q: q.where_between("nation", 5, 8))
+_by_index("index_in", "nation IN (1, 2, 24)", lambda q: q.where_in("nation", [1, 2, 24, "x"]))
+_by_index("index_compound", "nation = 7 AND balance > 1000", lambda q: q.where_equals("nation", 7).where_greater_than("balance", 1000))
+
+
+@_register("index_after_compaction", f"SELECT id FROM {CUSTOMERS} WHERE nation = 7 AND id <> '9' UNION ALL SELECT 'late'")
+def _(spark, d):
+    store = _new_store(spark, d, (("nation",),))
+    store.put("customers:late", {"nation": 7})
+    store.compact()
+    store.put("customers:9", {"nation": 8})
+    return store.query("customers").where_equals("nation", 7).to_df().select(F.col("_id").alias("id"))
+
+
+@_register("index_catalogue", "SELECT * FROM (VALUES ('customers.nation'), ('customers.nation+balance')) v(name)")
+def _(spark, d):
+    store = _read_store(spark, d)
+    names = [i.name for i in store.list_indexes("customers")] if store.has_index("customers", "nation") else []
+    return spark.createDataFrame([(n,) for n in names], "name string")
+
+
+@_register("changes_committed", f"SELECT seq, type, key FROM (SELECT 1::BIGINT AS seq, 'put' AS type, key FROM {CUSTOMERS}) UNION ALL SELECT 2, 'delete', 'customers:1' UNION ALL SELECT 3, 'put', 'a'")
+def _(spark, d):
+    store = _new_store(spark, d)
+    store.delete("customers:1")
+    store._segment(store._local({"never": 1}), 3)  # staged and not committed
+    store.put("a", 1)
+    return store.changes().select("seq", "type", "key")
+
+
+@_register("encrypted_store", f"SELECT key, name, nation, balance FROM {CUSTOMERS}")
+def _(spark, d):
+    store = Store(spark, scratch_folder(spark), encryption_key=scalar.derive_key("secret", b"0123456789abcdef", 1000)[0])
+    store.append(_customer_rows(spark, d))
+    store.compact()
+    return _fields(store.scan())
+
+
+# ---- scalar functions -----------------------------------------------------
+
+
+@_register("encryption_round_trip", "SELECT c_custkey, c_name FROM customer")
+def _(spark, d):
+    key = scalar.derive_key("secret", b"0123456789abcdef", 1000)[0]
+    name = scalar.decrypted(scalar.encrypted(F.col("c_name").cast("binary"), key), key).cast("string")
+    return table(spark, d, "customer").select("c_custkey", name.alias("c_name"))
+
+
+@_register("checksum_and_key_derivation", "SELECT 3421780262 AS crc, 'c5e478d59288c841aa530db6845c4c8d962893a001ce4e11a4963873aa98134a' AS derived")
+def _(spark, d):
+    # Known answers: CRC-32 of "123456789", and PBKDF2 with HMAC-SHA-256 of "password" and "salt", 4,096 rounds.
+    derived = scalar.derive_key("password", b"salt", 4096)[0].hex()
+    return spark.createDataFrame([("123456789", derived)], "v string, derived string").select(scalar.checksum(F.col("v")).alias("crc"), "derived")
+
+
+@_register("total_order", "SELECT * FROM (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8)) v(place)")
+def _(spark, d):
+    ordered = [None, False, True, -1.5, 2, "a", "b", [1], {"a": 1}]
+    places = [i for i, v in enumerate(ordered) if all(compare_values(v, w) < 0 and encode(v) < encode(w) and not values_equal(v, w) for w in ordered[i + 1 :])]
+    return spark.createDataFrame([(i,) for i in places], "place int")

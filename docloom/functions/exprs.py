@@ -94,7 +94,7 @@ def variant_class(v: Column) -> Column:
     return (
         F.when(v.isNull() | F.is_variant_null(v), F.lit(0))
         .when(kind == "BOOLEAN", F.when(F.try_variant_get(v, "$", "boolean"), F.lit(TRUE)).otherwise(F.lit(FALSE)))
-        .when(kind.rlike(r"^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.lit(NUMBER))
+        .when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.lit(NUMBER))
         .when(kind == "STRING", F.lit(STRING))
         .when(kind.startswith("ARRAY"), F.lit(LIST))
         .when(kind.startswith("OBJECT"), F.lit(MAP))
@@ -106,7 +106,11 @@ def variant_class(v: Column) -> Column:
 def _nested_key() -> Any:
     @F.pandas_udf("binary")
     def nested(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else encode(json.loads(t)))
+        out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+        some = texts.notna()  # scalars come as nulls: most often there is nothing to do
+        if some.any():
+            out[some] = texts[some].map(lambda t: encode(json.loads(t)))
+        return out
 
     return nested
 
@@ -230,7 +234,21 @@ def _compare_dynamic(field: Field, op: str, value: Any) -> Column:
     r = rank(value)
     if r in (LIST, MAP):
         return _FLIPS[op](order_key(field), key_literal(value))
-    return _FLIPS[op](order_key(field, nested=False), key_literal(value, nested=False))
+    if r not in (NUMBER, STRING):
+        return _FLIPS[op](order_key(field, nested=False), key_literal(value, nested=False))
+    # One look at the class, and one at the value where it is of the literal's class.
+    v = field.column
+    kind = F.schema_of_variant(v)
+    number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+    below = kind.isin("VOID", "BOOLEAN")
+    if r == NUMBER:
+        own, got, right = number, F.try_variant_get(v, "$", "double"), F.lit(float(value))
+    else:
+        own, got, right = kind == "STRING", F.try_variant_get(v, "$", "string"), F.lit(value)
+        below = below | number
+    below = F.coalesce(below, F.lit(True))  # a missing field is below all
+    other = {"eq": F.lit(False), "ne": F.lit(True), "gt": ~below, "gte": ~below, "lt": below, "lte": below}[op]
+    return F.when(own, F.coalesce(_FLIPS[op](got, right), F.lit(False))).otherwise(other)
 
 
 def between(field: Field, bounds: Any) -> Column:

@@ -24,6 +24,16 @@ def redacted_value(value: Column) -> Column:
     return F.concat(F.lit("value(len="), F.octet_length(value.cast("string")).cast("string"), F.lit(")"))
 
 
+def redact_key(key: str) -> str:
+    """``redacted_key`` of a Python string."""
+    return f"key#{hashlib.sha256(key.encode()).hexdigest()[:8]}(len={len(key.encode('utf-16-be')) // 2})"
+
+
+def redact_value(value: object) -> str:
+    """``value(len=n)`` of a Python value."""
+    return f"value(len={len(str(value).encode())})"
+
+
 def checksum(value: Column) -> Column:
     """CRC-32 of a binary or string value."""
     return F.crc32(value.cast("binary"))

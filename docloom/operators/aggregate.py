@@ -7,6 +7,7 @@ and maximum follow the total order, skip nulls and are null over nothing.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,7 @@ from ..errors import QueryError
 from ..functions.exprs import Field, compare, order_key, resolve
 from ..values import NUMBER
 
-FUNCTIONS = ("count", "sum", "avg", "min", "max", "distinct")
+FUNCTIONS = ("count", "sum", "avg", "min", "max", "distinct", "values")
 
 
 @dataclass(frozen=True)
@@ -49,11 +50,19 @@ class Aggregation:
     def distinct(self, field: str) -> Aggregation:
         return self._with("distinct", field)
 
+    def values(self, field: str) -> Aggregation:
+        """The distinct values themselves, as a sorted list; those of a dynamic field as JSON text."""
+        return self._with("values", field)
+
     def group_by(self, field: str) -> Aggregation:
         return replace(self, group_field=field)
 
-    def apply(self, df: DataFrame, variant: str | None = None, documents: bool = False) -> DataFrame:
-        """One row, or one per group; ``documents`` adds each group's documents as a list."""
+    def apply(self, df: DataFrame, variant: str | None = None, documents: bool = False, ids: Sequence[str] = ()) -> DataFrame:
+        """One row, or one per group; ``documents`` adds each group's documents as a list.
+
+        With ``ids``, groups come in the order in which their first documents,
+        by these columns, are met.
+        """
         columns = [aggregate(resolve(df, field, variant) if field else None, function).alias(name_of(function, field)) for function, field in self.specs]
         if documents:
             columns.append(F.collect_list(F.struct("*")).alias("documents"))
@@ -62,10 +71,14 @@ class Aggregation:
         if self.group_field is None:
             return df.agg(*columns)
         field = resolve(df, self.group_field, variant)
+        if ids:
+            columns.append(F.min(F.struct(*ids)).alias("_first"))
         if not field.dynamic:
-            return df.groupBy(field.column.alias(self.group_field)).agg(*columns)
-        shown = F.min_by(field.column, F.to_json(field.column)).alias(self.group_field)
-        return df.groupBy(order_key(field).alias("_key")).agg(shown, *columns).drop("_key")
+            out = df.groupBy(field.column.alias(self.group_field)).agg(*columns)
+        else:
+            shown = F.min_by(field.column, F.to_json(field.column)).alias(self.group_field)
+            out = df.groupBy(order_key(field).alias("_key")).agg(shown, *columns).drop("_key")
+        return out.orderBy("_first").drop("_first") if ids else out
 
 
 def name_of(function: str, field: str | None) -> str:
@@ -87,6 +100,8 @@ def aggregate(field: Field | None, function: str) -> Column:
         if number is None:
             return F.lit(0) if function == "sum" else F.lit(0.0)
         return F.coalesce(F.sum(number), F.lit(0)) if function == "sum" else F.coalesce(F.avg(number), F.lit(0.0))
+    if function == "values":
+        return F.array_sort(F.collect_set(F.when(present, F.to_json(c) if field.dynamic else c)))
     if function == "distinct":
         key = order_key(field) if field.dynamic else c
         return F.count_distinct(F.when(present, key))
@@ -105,10 +120,13 @@ def _number(field: Field) -> Column | None:
     return field.column
 
 
-def distinct_values(df: DataFrame, field: Field, name: str) -> DataFrame:
-    """Distinct non-null values under the total order."""
+def distinct_values(df: DataFrame, field: Field, name: str, ids: Sequence[str] = ()) -> DataFrame:
+    """Distinct non-null values under the total order, by ``ids`` in the order in which they are met first."""
     present = df.where(~compare(field, "eq", None))
+    first = [F.min(F.struct(*ids)).alias("_first")] if ids else []
     if not field.dynamic:
-        return present.select(field.column.alias(name)).distinct()
+        key = field.column.alias(name)
+        return present.groupBy(key).agg(*first).orderBy("_first").drop("_first") if ids else present.select(key).distinct()
     grouped = present.groupBy(order_key(field).alias("_key"))
-    return grouped.agg(F.min_by(field.column, F.to_json(field.column)).alias(name)).drop("_key")
+    out = grouped.agg(F.min_by(field.column, F.to_json(field.column)).alias(name), *first).drop("_key")
+    return out.orderBy("_first").drop("_first") if ids else out

@@ -1,9 +1,12 @@
 """Secondary indexes: posting tables and the planner that picks one.
 
-A posting table holds the order keys of one or more fields and the document's
-id, sorted by key, so that row-group statistics prune a range read.  It is
-derived data, stamped with the version it was built from.  Equality on leading
-fields plus one range or list condition on the next is served by an index.
+A posting table holds the order keys of one or more fields, the document's id
+and the document itself, sorted by key, so that a query reads nothing else.  It
+is derived data, stamped with the version it was built from.  Equality on
+leading fields plus one range or list condition on the next is served by an
+index.  A filter compares keys, which are structs, and also their class and
+number or string, which are leaves of the Parquet file, so that row-group
+statistics prune the read.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import key_literal, order_key, resolve
+from ..values import LIST, MAP, NUMBER, OTHER, STRING, rank
 
 RANGES = ("gt", "gte", "lt", "lte", "between")
 
@@ -31,10 +35,29 @@ class IndexDefinition:
         return f"{self.collection}.{'+'.join(self.fields)}"
 
 
-def postings(df: DataFrame, fields: Sequence[str], variant: str | None = None, id_column: str = "_id") -> DataFrame:
-    """(k0, k1, ..., _id): every document, null and missing fields included."""
+def postings(df: DataFrame, fields: Sequence[str], variant: str | None = None, id_column: str = "_id", keep: Sequence[str] = ()) -> DataFrame:
+    """(k0, k1, ..., _id) and the columns in ``keep``: every document, null and missing fields included."""
     keys = [order_key(resolve(df, f, variant)).alias(f"k{i}") for i, f in enumerate(fields)]
-    return df.select(*keys, F.col(id_column).alias("_id"))
+    return df.select(*keys, F.col(id_column).alias("_id"), *keep)
+
+
+def _compared(key: Column, op: str, value: object) -> Column:
+    """``key op value``, in terms of the key's leaves as far as they tell.
+
+    Equality is told by the leaves alone: beside an equality of the whole
+    struct, the optimizer would fold conditions on its leaves away.
+    """
+    kind, right = rank(value), key_literal(value)
+    if op == "eq":
+        leaf = {NUMBER: "num", STRING: "str", OTHER: "str", LIST: "bin", MAP: "bin"}.get(kind)
+        return (key["cls"] == kind) & (key[leaf] == right[leaf]) if leaf else key["cls"] == kind
+    above = op in ("gt", "gte")
+    whole = {"gt": key > right, "gte": key >= right, "lt": key < right, "lte": key <= right}[op]
+    implied = key["cls"] >= kind if above else key["cls"] <= kind
+    if kind == NUMBER:
+        bound = key["num"] >= float(value) if above else key["num"] <= float(value)
+        implied &= key["num"].isNull() | bound
+    return whole & implied
 
 
 @dataclass(frozen=True)
@@ -64,19 +87,21 @@ def _plan_one(definition: IndexDefinition, conditions: Sequence[tuple[str, str,
         key, own = F.col(f"k{i}"), [c for c in conditions if c[0] == field]
         equal = [c for c in own if c[1] == "eq"]
         if equal:
-            predicate &= key == key_literal(equal[0][2])
+            predicate &= _compared(key, "eq", equal[0][2])
             consumed += 1
             continue
         several = [c for c in own if c[1] == "in" and isinstance(c[2], (list, tuple))]
         if several:
             values = list(several[0][2])
-            predicate &= key.isin([key_literal(v) for v in values]) if values else F.lit(False)
+            any_ = F.lit(False)
+            for v in values:
+                any_ |= _compared(key, "eq", v)
+            predicate &= any_
             return IndexPlan(definition, consumed + 1, predicate)
         ranges = [c for c in own if c[1] in RANGES and (c[1] != "between" or isinstance(c[2], (list, tuple)) and len(c[2]) == 2)]
         for _, op, value in ranges:  # all ranges on the field tighten one interval
             for way, bound in (("gte", value[0]), ("lte", value[1])) if op == "between" else ((op, value),):
-                right = key_literal(bound)
-                predicate &= {"gt": key > right, "gte": key >= right, "lt": key < right, "lte": key <= right}[way]
+                predicate &= _compared(key, way, bound)
         if ranges:
             return IndexPlan(definition, consumed + len(ranges), predicate)
         break

@@ -149,8 +149,11 @@ class DocQuery:
             best = plan([d for d, _ in self.collection.indexes], self.collection.name, self.conditions)
             if best is not None:
                 table = dict(self.collection.indexes)[best.definition]
-                hits = table.where(best.predicate).select("_id")
-                df = df.join(hits.withColumnRenamed("_id", self.collection.ids[0]), self.collection.ids[0], "left_semi")
+                hits = table.where(best.predicate)
+                if set(df.columns) <= set(table.columns):  # the postings cover the documents
+                    df = hits.select(*df.columns)
+                else:
+                    df = df.join(hits.select(F.col("_id").alias(self.collection.ids[0])), self.collection.ids[0], "left_semi")
         if not self.conditions and not self.extra:
             return df
         return df.where(replace(self, collection=replace(self.collection, df=df)).predicate())
@@ -202,16 +205,16 @@ class DocQuery:
         return self.matched().agg((n if self.taken is None else F.least(n, F.lit(self.taken))).cast("long").alias("n"))
 
     def distinct(self, path: str) -> DataFrame:
-        """Distinct non-null values of a field within the window."""
+        """Distinct non-null values of a field within the window, in the order in which ids meet them."""
         df = self.window()
-        return distinct_values(df, exprs.resolve(df, path, self.collection.variant), path)
+        return distinct_values(df, exprs.resolve(df, path, self.collection.variant), path, self.collection.ids)
 
     def execute_aggregation(self, documents: bool = False) -> DataFrame:
         if self.aggregation is None:
             raise QueryError("aggregate() wasn't called")
         windowed = self.taken is not None or self.skipped or self.joins
         df = self.to_df() if windowed else self.matched()
-        return self.aggregation.apply(df, self.collection.variant, documents)
+        return self.aggregation.apply(df, self.collection.variant, documents, self.collection.ids)
 
     def update(self, changes: dict[str, Any]) -> int:
         """Merge ``changes`` into the documents of the window, as one commit; how many."""
@@ -227,15 +230,27 @@ class DocQuery:
         return self.collection.writer(changes, self.window())
 
     def updated_df(self, changes: dict[str, Any]) -> DataFrame:
-        """A typed collection's state after an update of all matched rows, as a DataFrame."""
-        df, hit = self.collection.df, self.predicate()
+        """A typed collection's state after an update of the window's rows, as a DataFrame."""
+        df, hit = self._marked()
         kinds = dict(df.dtypes)
         new = {k: F.when(hit, F.lit(v).cast(kinds[k]) if k in kinds else F.lit(v)).otherwise(F.col(k) if k in kinds else F.lit(None)) for k, v in changes.items()}
-        return df.withColumns(new)
+        return df.withColumns(new).drop("_hit")
 
     def deleted_df(self) -> DataFrame:
-        """A collection's state after a delete of all matched rows, as a DataFrame."""
-        return self.collection.df.where(~self.predicate())
+        """A collection's state after a delete of the window's rows, as a DataFrame."""
+        df, hit = self._marked()
+        return df.where(~hit).drop("_hit")
+
+    def _marked(self) -> tuple[DataFrame, Column]:
+        """The collection's rows, and whether each is in the window; the ids tell rows apart."""
+        df = self.collection.df
+        if self.taken is None and not self.skipped:
+            return df, self.predicate()
+        ids = list(self.collection.ids)
+        hit = self.window().select(*[F.col(c).alias(f"_w{i}") for i, c in enumerate(ids)]).distinct().withColumn("_hit", F.lit(True))
+        same = [F.col(c).eqNullSafe(F.col(f"_w{i}")) for i, c in enumerate(ids)]
+        marked = df.join(hit, same, "left").select(*df.columns, F.col("_hit"))
+        return marked, F.coalesce("_hit", F.lit(False))
 
 
 def _placed(is_null: Column, nulls_last: bool) -> Column:

@@ -8,6 +8,7 @@ Import verifies everything before it writes anything.
 from __future__ import annotations
 
 import json
+import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,13 +61,17 @@ def import_from(spark: SparkSession, archive: str, path: str, overwrite: bool =
     if found != {k: meta[k] for k in ("rows", "digest")}:
         raise ArchiveError("the content doesn't match its digest")
     target = Files(spark, path)
-    if target.list(""):
-        if not overwrite:
-            raise ArchiveError(f"{path} isn't empty")
-        target.delete("")
-    store = Store(spark, path, schema_version=meta["schema_version"])
+    if target.list("") and not overwrite:
+        raise ArchiveError(f"{path} isn't empty")
+    # The new store is whole before it takes the old one's place.
+    parent, _, name = path.rstrip("/").rpartition("/")
+    aside = f"{name}.import-{uuid.uuid4().hex}"
+    store = Store(spark, f"{parent}/{aside}", schema_version=meta["schema_version"])
     if found["rows"]:
         store.append(rows)
     for collection, fields in meta["indexes"]:
         store.create_index(collection, fields)
-    return store
+    target.delete("")
+    if not Files(spark, parent).move(aside, name):
+        raise ArchiveError(f"{path} can't be replaced; the imported store is {parent}/{aside}")
+    return Store(spark, path, schema_version=meta["schema_version"])

@@ -1,11 +1,14 @@
 """A document and key/value store as an append-only change log with snapshots.
 
-A commit writes one Parquet segment (key, value, tombstone, expires_at, seq,
-ts) and then creates the manifest of the next version.  Creating a manifest
-that exists fails, so the first committer wins and a commit is atomic; a
-segment without a manifest is never read.  The state is the latest entry of
-each key over the snapshot and the segments after it.  Values are JSON text,
-read as VARIANT.
+A commit stages one Parquet segment (key, value, tombstone, expires_at, seq,
+ts), creates the manifest of the next version, and moves the segment to the
+log.  Creating a manifest that exists fails, so the first committer wins and a
+commit is atomic; what is staged without a manifest is never read.  A
+committer that is lost between manifest and move leaves the move to whoever
+reads or commits next.  So the log holds committed segments only, which
+streams can follow.  The state is the latest entry of each key over the
+snapshot and the segments after it.  Values are JSON text, read as VARIANT,
+and encrypted at rest if the store has a key.
 
 Manifests are small files read and written by the driver through Spark's own
 file system layer, so a store can be anywhere Spark can write.
@@ -14,6 +17,8 @@ file system layer, so a store can be anywhere Spark can write.
 from __future__ import annotations
 
 import json
+import logging
+import tempfile
 import time
 import uuid
 from collections.abc import Callable, Mapping, Sequence
@@ -24,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ClosedError, ConflictError, DocloomError, InvalidKeyError, QueryError, SchemaVersionError, SerializationError
+from ..functions import exprs, scalar
 from ..operators.index import IndexDefinition, postings
 from ..plans.query import Collection, DocQuery
 from ..values import is_storable, values_equal
@@ -33,6 +39,18 @@ LOG_SCHEMA = "key string, value string, tombstone boolean, expires_at timestamp,
 ISOLATION = ("read_committed", "repeatable_read", "serializable", "optimistic")
 SYNC_MODES = ("none", "os", "full")
 _DELETED = object()
+#: Seconds after which a lock without its file is its committer's loss.
+LOCK_SECONDS = 60
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir``; a temporary one only in local mode without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise DocloomError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="docloom-")
+    return f"{base.rstrip('/')}/docloom-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
 
 
 class Files:
@@ -58,10 +76,13 @@ class Files:
         finally:
             stream.close()
 
-    def create(self, name: str, text: str) -> bool:
+    def create(self, name: str, text: str, lock_seconds: float = LOCK_SECONDS) -> bool:
         """Create a file with this content; False if it exists.
 
         The content is written aside and moved, so a reader never sees half.
+        An exclusive create of a lock decides between two committers; a lock
+        whose committer was lost before the move is taken over after
+        ``lock_seconds``.
         """
         fs, path = self._path(name)
         if fs.exists(path):
@@ -72,12 +93,55 @@ class Files:
         stream.close()
         fs.mkdirs(path.getParent())
         _, lock = self._path(f"{name}.lock")
-        try:  # an exclusive create decides between two committers
+        if not (self._exclusive(fs, lock) or self._expired(fs, lock, path, lock_seconds) and self._exclusive(fs, lock)):
+            fs.delete(aside, False)
+            return False
+        done = not fs.exists(path) and bool(fs.rename(aside, path))
+        fs.delete(aside, False)
+        return done
+
+    def _exclusive(self, fs, lock) -> bool:
+        try:
             fs.create(lock, False).close()
+            return True
         except Exception:
-            fs.delete(aside, False)
             return False
-        return bool(fs.rename(aside, path))
+
+    def _expired(self, fs, lock, path, lock_seconds: float) -> bool:
+        """Remove a lost committer's lock; one of several that try succeeds."""
+        try:
+            age = time.time() - fs.getFileStatus(lock).getModificationTime() / 1000
+        except Exception:
+            return False
+        if age < lock_seconds or fs.exists(path):
+            return False
+        _, gone = self._path(f"_tmp/{uuid.uuid4().hex}")
+        return bool(fs.rename(lock, gone))
+
+    def exists(self, name: str) -> bool:
+        fs, path = self._path(name)
+        return bool(fs.exists(path))
+
+    def make(self, name: str) -> None:
+        fs, path = self._path(name)
+        fs.mkdirs(path)
+
+    def move(self, name: str, to: str) -> bool:
+        """Move a file or folder to a name that isn't taken; False if it's gone or taken."""
+        fs, path = self._path(name)
+        _, target = self._path(to)
+        if fs.exists(target):
+            return False
+        fs.mkdirs(target.getParent())
+        try:
+            return bool(fs.rename(path, target))
+        except Exception:
+            return False
+
+    def size(self, name: str) -> int:
+        """Bytes of all files under a name."""
+        fs, path = self._path(name)
+        return int(fs.getContentSummary(path).getLength()) if fs.exists(path) else 0
 
     def delete(self, name: str) -> None:
         fs, path = self._path(name)
@@ -85,19 +149,33 @@ class Files:
 
 
 class Store:
-    """An open store; see the module's text for its layout."""
+    """An open store; see the module's text for its layout.
+
+    ``encryption_key`` (32 bytes) encrypts values at rest by AES-256-GCM; a
+    store is opened with the key it was made with.  ``logger`` gets one line
+    per operation, with keys as fingerprints and values as lengths.
+    """
 
     def __init__(
         self, spark: SparkSession, path: str, schema_version: int = 1,
         on_upgrade: Callable[[Store, int, int], None] | None = None, sync: str = "full",
+        encryption_key: bytes | None = None, logger: logging.Logger | None = None,
     ) -> None:
         if sync not in SYNC_MODES:
             raise DocloomError(f"unknown sync mode {sync}")
+        if encryption_key is not None and len(encryption_key) != 32:
+            raise DocloomError("an encryption key has 32 bytes")
         self.spark, self.path, self.sync, self.closed = spark, path.rstrip("/"), sync, False
+        self.encryption_key, self.logger = encryption_key, logger
+        self.counters = {"commits": 0, "conflicts": 0, "reads": 0}
         self.files = Files(spark, self.path)
         if self.version() < 0:
-            self._publish(0, {"version": 0, "snapshot": None, "segments": [], "indexes": [], "schema_version": schema_version, "seq": 0})
+            first = {"version": 0, "snapshot": None, "snapshot_version": 0, "segments": [], "indexes": [], "schema_version": schema_version, "seq": 0}
+            self.files.make("log")
+            self._publish(0, first | {"encrypted": encryption_key is not None})
             return
+        if self.manifest().get("encrypted", False) != (encryption_key is not None):
+            raise DocloomError("the store is encrypted and needs its key" if encryption_key is None else "the store isn't encrypted")
         stored = self.manifest()["schema_version"]
         if stored > schema_version:
             raise SchemaVersionError(f"the store has schema version {stored}, newer than {schema_version}")
@@ -146,12 +224,31 @@ class Store:
     def log(self, version: int | None = None, after: int = -1) -> DataFrame:
         """Log entries of segments committed after version ``after``."""
         m = self.manifest(version)
+        self.counters["reads"] += 1
+        self._settle(m)
         names = [s["name"] for s in m["segments"] if s["version"] > after]
         if after < 0 and m["snapshot"]:
             names = [m["snapshot"], *names]
         if not names:
             return self.spark.createDataFrame([], LOG_SCHEMA)
-        return self.spark.read.schema(LOG_SCHEMA).parquet(*[f"{self.path}/{n}" for n in names])
+        return self.plain(self.spark.read.schema(LOG_SCHEMA).parquet(*[f"{self.path}/{n}" for n in names]))
+
+    def _settle(self, m: dict[str, Any]) -> None:
+        """Move the newest committed segment to the log if its committer didn't."""
+        if m["segments"] and not self.files.exists(m["segments"][-1]["name"]):
+            last = m["segments"][-1]
+            if not self.files.move(last["staged"], last["name"]) and not self.files.exists(last["name"]):
+                raise DocloomError(f"segment {last['name']} is lost")
+
+    def plain(self, rows: DataFrame) -> DataFrame:
+        """Log rows with their values decrypted."""
+        if self.encryption_key is None:
+            return rows
+        return rows.withColumn("value", scalar.decrypted(F.unbase64("value"), self.encryption_key).cast("string"))
+
+    def _say(self, what: str, *parts: str) -> None:
+        if self.logger is not None:
+            self.logger.info("%s %s", what, " ".join(parts))
 
     def rows(self, version: int | None = None) -> DataFrame:
         """(key, value, expires_at): the latest entry of each key; value is JSON text."""
@@ -165,11 +262,17 @@ class Store:
 
     def _segment(self, rows: DataFrame, seq: int) -> str:
         """Write (key, value, tombstone, expires_at) as a new segment; its name."""
-        name = f"log/{uuid.uuid4().hex}"
+        name = f"staging/{uuid.uuid4().hex}"
         out = rows.select("key", "value", "tombstone", "expires_at", F.lit(seq).cast("long").alias("seq"), F.current_timestamp().alias("ts"))
-        out.write.parquet(f"{self.path}/{name}")
+        self._secret(out).write.parquet(f"{self.path}/{name}")
         return name
 
+    def _secret(self, rows: DataFrame) -> DataFrame:
+        """Rows as they are stored: encrypted if the store has a key."""
+        if self.encryption_key is None:
+            return rows
+        return rows.withColumn("value", F.base64(scalar.encrypted(F.col("value").cast("binary"), self.encryption_key)))
+
     def commit(self, rows: DataFrame, check: Callable[[dict[str, Any]], None] | None = None) -> int:
         """Append (key, value, tombstone, expires_at) rows as one atomic commit; its version.
 
@@ -178,21 +281,34 @@ class Store:
         """
         base = self.manifest()
         for n in range(20):
-            name = self._segment(rows, base["seq"] + 1)
-            if check:
-                check(base)
+            staged = self._segment(rows, base["seq"] + 1)
+            try:
+                self._settle(base)
+                if check:
+                    check(base)
+            except BaseException:
+                self.files.delete(staged)
+                raise
             version = base["version"] + 1
-            entry = {"name": name, "version": version, "seq": base["seq"] + 1}
+            entry = {"name": f"log/{version:012d}", "staged": staged, "version": version, "seq": base["seq"] + 1}
             try:
-                self._publish(version, base | {"version": version, "segments": [*base["segments"], entry], "seq": base["seq"] + 1})
+                new = base | {"version": version, "segments": [*base["segments"], entry], "seq": base["seq"] + 1}
+                self._publish(version, new)
+                self._settle(new)
+                self.counters["commits"] += 1
+                self._say("commit", f"version={version}")
                 return version
             except ConflictError:
-                self.files.delete(name)
+                self.counters["conflicts"] += 1
+                self.files.delete(staged)
                 time.sleep(0.005 * 2 ** min(n, 6))
                 base = self.manifest()
         raise ConflictError("other writers kept committing first")
 
     def _local(self, entries: Mapping[str, Any], expires_at: datetime | None = None) -> DataFrame:
+        if self.logger is not None:
+            for k, v in entries.items():
+                self._say("delete" if v is _DELETED else "put", scalar.redact_key(k), *([] if v is _DELETED else [scalar.redact_value(v)]))
         data = [(kv.check_key(k), None if v is _DELETED else encode_value(v), v is _DELETED, None if v is _DELETED else expires_at) for k, v in entries.items()]
         return self.spark.createDataFrame(data, "key string, value string, tombstone boolean, expires_at timestamp")
 
@@ -243,7 +359,7 @@ class Store:
     def _check_unchanged(self, keys: set[str], since: int, base: dict[str, Any]) -> None:
         if base["version"] == since:
             return
-        if base["snapshot"] != self.manifest(since)["snapshot"]:
+        if base.get("snapshot_version", 0) > since:
             raise ConflictError("the log was compacted meanwhile")
         changed = self.log(base["version"], after=since).where(F.col("key").isin(sorted(keys)))
         if not changed.isEmpty():
@@ -254,6 +370,7 @@ class Store:
     def get(self, key: str, version: int | None = None) -> Any:
         """The live value of a key as a Python value, or None."""
         row = kv.lookup(self.rows(version), key).select("value").first()
+        self._say("get", scalar.redact_key(key), "miss" if row is None else "hit")
         return None if row is None else json.loads(row.value)
 
     def get_batch(self, keys: Sequence[str]) -> dict[str, Any]:
@@ -292,9 +409,44 @@ class Store:
         return n
 
     def info(self) -> dict[str, Any]:
-        """Entry count and layout figures."""
+        """Entry count, layout, sizes in bytes, and this instance's counters."""
         m = self.manifest()
-        return {"entries": kv.visible(self.rows()).count(), "version": m["version"], "segments": len(m["segments"]), "schema_version": m["schema_version"], "indexes": [IndexDefinition(c, tuple(f)).name for c, f in m["indexes"]]}
+        return {
+            "entries": kv.visible(self.rows()).count(), "version": m["version"], "segments": len(m["segments"]), "schema_version": m["schema_version"],
+            "indexes": [IndexDefinition(c, tuple(f)).name for c, f in m["indexes"]], "encrypted": self.encryption_key is not None,
+            "bytes": {part: self.files.size(part) for part in ("log", "snapshots", "index")}, **self.counters,
+        }
+
+    # -- names of the simple interface
+
+    def put_all(self, entries: Mapping[str, Any], ttl: float | None = None) -> int:
+        return self.put_batch(entries, ttl)
+
+    def get_all(self, pattern: str = "*") -> dict[str, Any]:
+        """Live entries whose key matches, as Python values."""
+        return {r.key: json.loads(r.value) for r in kv.match(self.rows(), pattern).collect()}
+
+    def delete_all(self, pattern: str = "*") -> int:
+        """Delete the live keys that match, in one commit; how many."""
+        gone = kv.match(self.rows(), pattern).select("key", F.lit(None).cast("string").alias("value"), F.lit(True).alias("tombstone"), F.lit(None).cast("timestamp").alias("expires_at")).persist()
+        try:
+            n = gone.count()
+            if n:
+                self.commit(gone)
+            return n
+        finally:
+            gone.unpersist()
+
+    def where(self, collection: str, field: str, op: str, value: Any = None) -> DocQuery:
+        return self.query(collection).where(field, op, value)
+
+    def scan_documents(self, name: str) -> DataFrame:
+        """(_id, doc) of a collection's live documents, by id."""
+        return self.collection(name).df.orderBy("_id")
+
+    def scan_document_ids(self, name: str) -> DataFrame:
+        """(_id) of a collection's live documents, in order."""
+        return self.collection(name).df.select("_id").orderBy("_id")
 
     # -- documents
 
@@ -303,12 +455,15 @@ class Store:
         if not name or ":" in name:
             raise InvalidKeyError("a collection's name isn't empty and holds no colon")
         m = self.manifest(version)
-        rows = kv.visible(self.state(version)).where(F.col("key").startswith(f"{name}:"))
-        ids = F.expr(f"substring(key, {len(name) + 2})")
-        docs = rows.select(ids.alias("_id"), F.col("value").alias("doc")).where("_id <> ''")
-        docs = docs.where(F.schema_of_variant("doc").startswith("OBJECT"))
-        indexes = tuple((IndexDefinition(c, tuple(f)), self._postings(m, c, f, docs)) for c, f in m["indexes"] if c == name)
-        return Collection(name, docs, ("_id",), "doc", indexes, lambda changes, hit: self._write_documents(name, changes, hit))
+        docs = self._documents(kv.visible(self.rows(m["version"])), name)
+        indexes = tuple((IndexDefinition(c, tuple(f)), self._postings(m, c, f)) for c, f in m["indexes"] if c == name)
+        return Collection(name, docs.select("_id", "doc"), ("_id",), "doc", indexes, lambda changes, hit: self._write_documents(name, changes, hit))
+
+    def _documents(self, rows: DataFrame, name: str) -> DataFrame:
+        """(_id, value, doc, expires_at) of a collection's documents among rows (key, value, expires_at)."""
+        own = rows.where(F.col("key").startswith(f"{name}:"))
+        docs = own.select(F.expr(f"substring(key, {len(name) + 2})").alias("_id"), "value", F.parse_json("value").alias("doc"), "expires_at")
+        return docs.where("_id <> ''").where(F.schema_of_variant("doc").startswith("OBJECT"))
 
     def query(self, name: str) -> DocQuery:
         return DocQuery(self.collection(name))
@@ -354,21 +509,40 @@ class Store:
 
     def refresh_index(self, definition: IndexDefinition, version: int | None = None) -> None:
         """Store an index's postings for a version, sorted by key."""
+        if self.encryption_key is not None:
+            return  # values in clear don't go to disk; postings are derived when they are read
         version = self.version() if version is None else version
-        table = postings(self.collection(definition.collection, version).df, definition.fields, "doc")
-        keys = [c for c in table.columns if c != "_id"]
+        table = self._derived(self.rows(version), definition)
+        keys = [c for c in table.columns if c.startswith("k")]
         path = f"{self.path}/index/{_folder(definition)}/{version:012d}"
         table.repartitionByRange(*keys).sortWithinPartitions(*keys, "_id").write.mode("overwrite").parquet(path)
 
-    def _postings(self, manifest: dict[str, Any], collection: str, fields: Sequence[str], docs: DataFrame) -> DataFrame:
-        """Stored postings if no data changed since, else derived from the documents."""
+    def _derived(self, rows: DataFrame, definition: IndexDefinition) -> DataFrame:
+        """(k0, k1, ..., _id, value, expires_at): postings of rows (key, value, expires_at), which cover the documents."""
+        return postings(self._documents(rows, definition.collection), definition.fields, "doc", keep=("value", "expires_at"))
+
+    def _postings(self, manifest: dict[str, Any], collection: str, fields: Sequence[str]) -> DataFrame:
+        """(k0, k1, ..., _id, doc) of live documents, whole and fresh for the manifest's version.
+
+        Stored postings serve the documents that no later commit touched; the
+        others' are derived from the log.  Postings older than the snapshot
+        can't tell what it folded in, and aren't used.
+        """
         definition = IndexDefinition(collection, tuple(fields))
-        data = max([s["version"] for s in manifest["segments"]], default=0)
+        version, rows = manifest["version"], self.rows(manifest["version"])
         stored = [int(v) for v in self.files.list(f"index/{_folder(definition)}")]
-        good = [v for v in stored if data <= v <= manifest["version"]]
-        if good:
-            return self.spark.read.parquet(f"{self.path}/index/{_folder(definition)}/{good[-1]:012d}")
-        return postings(docs, fields, "doc")
+        good = [v for v in stored if manifest.get("snapshot_version", 0) <= v <= version]
+        if not good or self.encryption_key is not None:
+            table = self._derived(rows, definition)
+        else:
+            table = self.spark.read.parquet(f"{self.path}/index/{_folder(definition)}/{good[-1]:012d}")
+            if any(s["version"] > good[-1] for s in manifest["segments"]):
+                later = self.log(version, after=good[-1])
+                own = later.where(F.col("key").startswith(f"{collection}:")).select(F.expr(f"substring(key, {len(collection) + 2})").alias("_id")).distinct()
+                newest = self._derived(kv.latest(later, ["value", "expires_at"]), definition)
+                table = table.join(own, "_id", "left_anti").unionByName(newest)
+        keys = [f"k{i}" for i in range(len(fields))]
+        return table.where(exprs.live(F.col("expires_at"), kv.utc_now())).select(*keys, "_id", F.parse_json("value").alias("doc"))
 
     def drop_index(self, collection: str, fields: Sequence[str]) -> None:
         def remove(m: dict[str, Any]) -> dict[str, Any]:
@@ -401,15 +575,18 @@ class Store:
         rows = self.rows(base["version"]).select("key", "value", F.lit(False).alias("tombstone"), "expires_at", F.lit(seq).cast("long").alias("seq"), F.current_timestamp().alias("ts"))
         name = f"snapshots/{uuid.uuid4().hex}"
         dealt = rows.repartitionByRange(partitions, "key") if partitions else rows.repartitionByRange("key")
-        dealt.sortWithinPartitions("key").write.parquet(f"{self.path}/{name}")
+        self._secret(dealt.sortWithinPartitions("key")).write.parquet(f"{self.path}/{name}")
 
         def swap(m: dict[str, Any]) -> dict[str, Any]:
             if m["snapshot"] != base["snapshot"]:
                 raise ConflictError("another compaction came first")
             later = [s for s in m["segments"] if s["version"] > base["version"]]
-            return m | {"snapshot": name, "segments": later}
+            return m | {"snapshot": name, "snapshot_version": base["version"], "segments": later}
 
-        return self._change(swap)["version"]
+        made = self._change(swap)["version"]
+        for collection, fields in self.manifest(made)["indexes"]:
+            self.refresh_index(IndexDefinition(collection, tuple(fields)), made)
+        return made
 
     flush = compact
 

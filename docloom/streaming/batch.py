@@ -11,7 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,24 +44,42 @@ def _parts(df: DataFrame, order: str) -> DataFrame:
     return df.withColumn("_part", F.size(F.filter(bounds, lambda c: c < value)))
 
 
+def _local(per_range: DataFrame) -> DataFrame:
+    """A row per range, of which there are at most as many as shuffle partitions, as local data."""
+    return per_range.sparkSession.createDataFrame(per_range.collect(), per_range.schema)
+
+
+def _beside(own: DataFrame, per_range: DataFrame) -> DataFrame:
+    """Each row with its range's row.
+
+    The key is cast: from two equal columns Spark would infer a filter on the
+    ranges' side that reads the event's own columns.
+    """
+    right = F.broadcast(per_range.withColumnRenamed("_part", "_range"))
+    return own.join(right, F.col("_part").cast("long") == F.col("_range")).drop("_range")
+
+
 def _neighbour(df: DataFrame, value: Column, name: str, order: str, by: Sequence[str], ahead: bool) -> DataFrame:
     """Add ``name``: the previous (or next) event's ``value``, and ``<name>_is``: whether there is one.
 
     One subscription over all rows is cut into ranges of its order; only each
     range's edge event, one row, crosses to its neighbour.
     """
-    shift = F.lead if ahead else F.lag
-    both = F.struct(value.alias("v"))
+    shift, there = (F.lead if ahead else F.lag), f"{name}_is"
+    some = lambda c: F.coalesce(c, F.lit(False))
     if by:
-        out = df.withColumn(name, shift(both).over(_window(order, by)))
-    else:
-        ranged = _parts(df, order)
-        edge = F.min_by(both, F.col(order)) if ahead else F.max_by(both, F.col(order))
-        edges = ranged.groupBy("_part").agg(edge.alias("_edge"))
-        edges = edges.select("_part", shift("_edge").over(Window.orderBy("_part")).alias("_edge"))
-        own = ranged.withColumn(name, shift(both).over(Window.partitionBy("_part").orderBy(order)))
-        out = own.join(F.broadcast(edges), "_part").withColumn(name, F.coalesce(name, "_edge")).drop("_part", "_edge")
-    return out.withColumns({f"{name}_is": F.col(name).isNotNull(), name: F.col(f"{name}.v")})
+        window = _window(order, by)
+        return df.withColumns({name: shift(value).over(window), there: some(shift(F.lit(True)).over(window))})
+    ranged = _parts(df, order).withColumn("_value", value)
+    edge = (F.min_by if ahead else F.max_by)("_value", order)
+    edges = _local(ranged.groupBy("_part").agg(edge.alias("_last")))
+    places = Window.orderBy("_part")
+    edges = edges.select("_part", shift("_last").over(places).alias("_edge"), some(shift(F.lit(True)).over(places)).alias("_edge_is"))
+    window = Window.partitionBy("_part").orderBy(order)
+    own = ranged.withColumns({name: shift("_value").over(window), there: some(shift(F.lit(True)).over(window))})
+    met = _beside(own, edges)
+    met = met.withColumns({name: F.when(F.col(there), F.col(name)).otherwise(F.col("_edge")), there: F.col(there) | F.col("_edge_is")})
+    return met.select(*df.columns, name, there)
 
 
 def distinct(df: DataFrame, key: str | Column, order: str = "ts", by: Sequence[str] = ()) -> DataFrame:
@@ -97,11 +116,11 @@ def positions(df: DataFrame, order: str, name: str) -> DataFrame:
     sizes of the ranges before it, one row each, are added.
     """
     ranged = _parts(df, order)
-    counted = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    counted = _local(ranged.groupBy("_part").agg(F.count("*").alias("_n")))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counted.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     own = ranged.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1)
-    met = own.join(F.broadcast(bases), "_part")
+    met = _beside(own, bases)
     return met.withColumn(name, (F.col("_own") + F.col("_base")).cast("long")).select(*df.columns, name)
 
 
@@ -127,26 +146,36 @@ def _scan(df: DataFrame, seconds: float, order: str, by: Sequence[str], buffered
     Groups are sorted and streamed batch by batch, and the place reached is
     carried on, so a long subscription isn't held in memory.
     """
-    keyed = df.withColumn("_us", F.unix_micros(F.col(order).cast("timestamp")))
+    # Spark says where a subscription begins, so keys of any kind, null included, compare as in a group.
+    head = F.row_number().over(_window(order, by)) == 1
+    keyed = df.withColumns({"_us": F.coalesce(F.unix_micros(F.col(order).cast("timestamp")), F.lit(-(1 << 62))), "_head": head})
     span = int(seconds * 1_000_000)
     schema = T.StructType([*df.schema.fields, T.StructField("_start", T.LongType()), T.StructField("_emitted", T.BooleanType())])
     columns = df.columns
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, start = None, None
-        for frame in frames:
-            keys = list(zip(*[frame[c] for c in by], strict=True)) if by else [()] * len(frame)
-            starts, emitted = [], []
-            for k, us in zip(keys, frame["_us"].tolist(), strict=True):
-                fresh = start is None or k != key or us - start >= span
-                if fresh:
-                    key, start = k, us
-                starts.append(start)
-                emitted.append(fresh)
-            yield frame[columns].assign(_start=starts, _emitted=emitted)
-
-    dealt = keyed.repartition(*[F.col(c) for c in by]) if by else keyed.coalesce(1)
-    return dealt.sortWithinPartitions(*by, order).mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start = None
+        for batch in batches:
+            us = batch.column(len(columns)).to_numpy(zero_copy_only=False)
+            heads = np.flatnonzero(batch.column(len(columns) + 1).to_numpy(zero_copy_only=False)).tolist()
+            starts, emitted = np.zeros(len(us), np.int64), np.zeros(len(us), bool)
+            cuts = sorted({0, *heads, len(us)})
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                own = us[a:b]
+                if start is None or heads and a == heads[0] or a:
+                    at = 0
+                else:  # the subscription goes on from the batch before
+                    at = int(np.searchsorted(own, start + span))
+                    starts[a : a + at] = start
+                while at < len(own):
+                    start = int(own[at])
+                    to = max(at + 1, int(np.searchsorted(own, start + span)))
+                    starts[a + at : a + to] = start
+                    emitted[a + at] = True
+                    at = to
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(starts), pa.array(emitted)], names=schema.names)
+
+    return keyed.mapInArrow(run, schema)
 
 
 def throttle(df: DataFrame, seconds: float, order: str = "ts", by: Sequence[str] = ()) -> DataFrame:

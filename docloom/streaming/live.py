@@ -23,12 +23,13 @@ from ..functions.exprs import glob
 def watch(store: Any, pattern: str = "*") -> DataFrame:
     """A streaming DataFrame (seq, type, key, value, ts) of a store's commits.
 
-    ``pattern`` is an exact key, ``prefix*``, ``*``, or has ``*`` anywhere.
+    It follows the store's log, to which a segment is moved once its manifest
+    is there; what was staged and never committed isn't seen.  ``pattern`` is an exact key, ``prefix*``, ``*``, or has ``*`` anywhere.
     """
     from ..sources.store import LOG_SCHEMA
 
     spark: SparkSession = store.spark
-    stream = spark.readStream.schema(LOG_SCHEMA).option("recursiveFileLookup", "true").parquet(f"{store.path}/log")
+    stream = store.plain(spark.readStream.schema(LOG_SCHEMA).option("recursiveFileLookup", "true").parquet(f"{store.path}/log"))
     kind = F.when(F.col("tombstone"), F.lit("delete")).otherwise(F.lit("put"))
     events = stream.select("seq", kind.alias("type"), "key", "value", "ts")
     return events.where(glob(F.col("key"), pattern))
@@ -91,15 +92,18 @@ def throttle(df: DataFrame, seconds: float, by: Sequence[str], order: str = "ts"
 def distinct(df: DataFrame, key: str, by: Sequence[str], order: str = "ts") -> DataFrame:
     """Drop events whose key equals the subscription's one just before."""
 
+    text = f"_text_of_{key}"
+    # JSON tells null, text and numbers apart, and equal values have equal JSON.
+    told = df.withColumn(text, F.to_json(F.struct(F.col(key).alias("k")), {"ignoreNullFields": "false"}))
+
     def step(state, frame):
-        last = state[0] if state else None
-        keep, first = [], state is None
-        for value in frame[key].astype(str).tolist():
-            keep.append(first or value != last)
-            last, first = value, False
+        last, keep = state[0] if state else None, []
+        for value in frame[text].tolist():
+            keep.append(value != last)
+            last = value
         return (last,), frame[keep], None
 
-    return _stateful(df, by, order, "last string", step)
+    return _stateful(told, by, order, "last string", step).drop(text)
 
 
 def take(df: DataFrame, n: int, by: Sequence[str], order: str = "ts") -> DataFrame:
@@ -149,24 +153,28 @@ def buffer_time(df: DataFrame, seconds: float, by: Sequence[str], order: str = "
 
 
 def debounce(df: DataFrame, seconds: float, by: Sequence[str], order: str = "ts") -> DataFrame:
-    """Emit a subscription's last event once ``seconds`` of silence have passed, by processing time.
+    """Emit a subscription's event after which nothing comes for ``seconds``.
 
-    Events are held as JSON in the state until a timer or a later event
-    decides.
+    A later event decides by the events' own times; the newest one is held as
+    JSON in the state, and a timer of processing time flushes it.
     """
-    wait = max(1, int(seconds * 1000))
-    names = df.columns
-    packed = df.select(*by, order, F.to_json(F.struct(*names)).alias("held"))
+    wait, span = max(1, int(seconds * 1000)), int(seconds * 1_000_000)
+    packed = df.select(*by, order, F.to_json(F.struct(*df.columns)).alias("held"))
+    columns = packed.columns
 
     def step(state, frame):
-        return (frame["held"].iloc[-1],), frame.iloc[:0], wait
-
-    columns = packed.columns
+        times = pd.to_datetime(frame[order]).astype("datetime64[us]").astype("int64").tolist()
+        held = frame["held"].tolist()
+        if state:
+            held, times = [state[0], *held], [state[1], *times]
+        quiet = [held[i] for i in range(len(held) - 1) if times[i + 1] - times[i] >= span]
+        out = frame.iloc[[0] * len(quiet)].assign(held=quiet)
+        return (held[-1], times[-1]), out, wait
 
     def on_timeout(state):
         return tuple(state[0] if c == "held" else None for c in columns)
 
-    out = _stateful(packed, by, order, "held string", step, GroupStateTimeout.ProcessingTimeTimeout, on_timeout)
+    out = _stateful(packed, by, order, "held string, us long", step, GroupStateTimeout.ProcessingTimeTimeout, on_timeout)
     return out.select(F.from_json("held", df.schema).alias("e")).select("e.*")
 
 

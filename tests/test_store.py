@@ -144,3 +144,109 @@ def test_encryption_and_redaction(spark):
     df = spark.createDataFrame([("héllo",)], "v string").withColumn("e", scalar.encrypted(F.col("v"), key))
     r = df.select("e", scalar.decrypted(F.col("e"), key).cast("string").alias("d"), scalar.redacted_key(F.col("v")).alias("k"), scalar.checksum(F.col("v")).alias("c")).first()
     assert bytes(r.e[:2]) == b"\x01\x02" and r.d == "héllo" and r.k.endswith("(len=5)") and len(r.e) == 2 + 12 + 6 + 16 and r.c > 0
+
+
+def ids(q):
+    return sorted(r["_id"] for r in q.to_df().collect())
+
+
+def test_indexes_stay_right_through_commits_and_compaction(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"))
+    s.put_batch({f"u:{i}": {"age": i % 5, "city": f"c{i % 3}"} for i in range(40)} | {"v:1": {"age": 1}})
+    s.create_index("u", ["age"])
+    s.create_index("u", ["city", "age"])
+
+    def agree():
+        for q in (s.query("u").where_equals("age", 3), s.query("u").where_between("age", 2, 3), s.query("u").where_in("age", [0, "x", None]), s.query("u").where_equals("city", "c1").where_greater_than("age", 2), s.query("u").where_less_than("age", 1)):
+            by_scan = sorted(r["_id"] for r in q.to_df(use_indexes=False).collect())
+            assert ids(q) == by_scan
+        return ids(s.query("u").where_equals("age", 3))
+
+    before = agree()
+    s.put("u:new", {"age": 3})
+    assert agree() == sorted([*before, "new"])
+    s.compact()
+    assert agree() == sorted([*before, "new"])
+    s.put_batch({"u:new": [3], "u:3": {"age": 9}, "v:2": {"age": 3}})
+    s.delete("u:8")
+    assert agree() == sorted(set(before) - {"3", "8"})
+    s.put("u:late", {"age": 3}, expires_at=datetime.now(timezone.utc) - timedelta(seconds=1))
+    s.compact()
+    s.put("u:z", {"age": 3})
+    s.compact()
+    assert agree() == sorted((set(before) - {"3", "8"}) | {"z"})
+
+
+def test_an_index_read_skips_row_groups(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"))
+    s.put_batch({f"u:{i}": {"n": i, "t": f"t{i}"} for i in range(50)})
+    s.create_index("u", ["n"])
+    made = s.query("u").where_equals("n", 7).to_df()
+    plan = spark._jvm.PythonSQLUtils.explainString(made._jdf.queryExecution(), "formatted")
+    pushed = next(line for line in plan.splitlines() if line.startswith("PushedFilters"))
+    assert "k0.num" in pushed and "k0.cls" in pushed and plan.count("PushedFilters") == 1 and f"{s.path}/index" in plan
+
+
+def test_commits_that_did_not_happen_are_never_seen(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"))
+    s.put("a", 1)
+    s._segment(s._local({"ghost": 1}), 2)  # staged, without a manifest
+    with pytest.raises(ConflictError):
+        s.transaction(lambda tx: (tx.get("a"), s.put("a", 2), tx.put("lost", 1)), attempts=1)
+    # A committer that was lost between its manifest and the move.
+    staged, m = s._segment(s._local({"b": 3}), 3), s.manifest()
+    s._publish(3, m | {"version": 3, "seq": 3, "segments": [*m["segments"], {"name": "log/000000000003", "staged": staged, "version": 3, "seq": 3}]})
+    assert s.get("b") == 3 and s.get("ghost") is None
+    got = []
+    hub = live.Hub()
+    hub.listen(live.watch(s), lambda b, _: got.extend((r.seq, r.key) for r in b.collect())).awaitTermination()
+    assert sorted(got) == [(1, "a"), (2, "a"), (3, "b")]
+    hub.close()
+
+
+def test_a_lost_lock_is_taken_over(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"))
+    (tmp_path / "s/manifests/000000000001.json.lock").touch()
+    assert not s.files.create("manifests/000000000001.json", "{}")
+    assert s.files.create("manifests/000000000001.json", "{}", lock_seconds=0)
+    assert not s.files.create("manifests/000000000001.json", "{}", lock_seconds=0)
+
+
+def test_values_are_encrypted_at_rest(spark, tmp_path):
+    from docloom.errors import DocloomError
+
+    key, path = bytes(range(32)), str(tmp_path / "s")
+    s = Store(spark, path, encryption_key=key)
+    s.put_batch({"u:1": {"name": "secretive"}, "u:2": {"name": "other"}})
+    s.create_index("u", ["name"])
+    s.compact()
+    s.put("u:3", {"name": "secretive"})
+    stored = b"".join(f.read_bytes() for f in (tmp_path / "s").rglob("*") if f.is_file())
+    assert b"secretive" not in stored
+    again = Store(spark, path, encryption_key=key)
+    assert ids(again.query("u").where_equals("name", "secretive")) == ["1", "3"] and again.get("u:2") == {"name": "other"}
+    for wrong in (None, b"short"):
+        with pytest.raises(DocloomError):
+            Store(spark, path, encryption_key=wrong)
+    with pytest.raises(Exception):
+        Store(spark, path, encryption_key=bytes(32)).get("u:2")
+
+
+def test_logging_is_redacted(spark, tmp_path, caplog):
+    import logging
+
+    logger = logging.getLogger("docloom-test")
+    with caplog.at_level(logging.INFO, "docloom-test"):
+        s = Store(spark, str(tmp_path / "s"), logger=logger)
+        s.put("private-key", "private-value")
+        s.get("private-key")
+        s.delete("private-key")
+    assert "private" not in caplog.text and "put key#" in caplog.text and "get key#" in caplog.text and "commit version=1" in caplog.text
+
+
+def test_simple_names(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"))
+    s.put_all({"u:1": {"a": 1}, "u:2": {"a": 2}, "x": 1, "u:": {"a": 3}})
+    assert s.get_all("u:?") == {"u:": {"a": 3}, "u:1": {"a": 1}, "u:2": {"a": 2}} and s.where("u", "a", "gt", 1).count() == 1
+    assert [r["_id"] for r in s.scan_document_ids("u").collect()] == [r["_id"] for r in s.scan_documents("u").collect()] == ["1", "2"]
+    assert s.delete_all("u:*") == 3 and s.count() == 1 and s.info()["commits"] == 2 and s.info()["bytes"]["log"] > 0

@@ -1,3 +1,4 @@
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -66,3 +67,51 @@ def test_streaming_agrees_with_batch(spark, tmp_path, kind):
     hub.listen(made, lambda b, _: got.extend(map(tuple, b.collect())), str(tmp_path / "ck")).awaitTermination()
     assert sorted(got) == sorted(map(tuple, forms[kind][1](df).select(*made.columns).collect()))
     hub.close()
+
+
+def test_null_keys_are_one_subscription(spark):
+    rows = [(None, T0 + timedelta(seconds=i), i) for i in range(4)] + [(2**53 + 1, T0, 10), (2**53 + 2, T0, 11)]
+    df = spark.createDataFrame(rows, "key long, ts timestamp, ms long")
+    assert sorted(r.ms for r in batch.throttle(df, 10, by=["key"]).collect()) == [0, 10, 11]
+    assert sorted((r.ms, r.batch_start.second) for r in batch.buffer_time(df, 2, by=["key"]).collect()) == [(0, 0), (1, 0), (2, 2), (3, 2), (10, 0), (11, 0)]
+
+
+@pytest.mark.parametrize("n", [1, 7, 10_000])
+def test_throttle_against_a_loop(spark, n):
+    import random
+
+    random.seed(n)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+    try:
+        pairs = [(random.choice("abc"), ms) for ms in random.sample(range(4000), 300)]
+        last, want = {}, []
+        for k, ms in sorted(pairs, key=lambda p: p[1]):
+            if k not in last or ms - last[k] >= 100:
+                last[k] = ms
+                want.append(ms)
+        got = batch.throttle(events(spark, pairs), 0.1, by=["key"])
+        assert [r.ms for r in got.orderBy("ms").collect()] == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_live_distinct_tells_null_from_text_and_debounce_looks_at_times(spark, tmp_path):
+    values = ["None", None, None, "a", "a", None]
+    df = spark.createDataFrame([("k", T0 + timedelta(seconds=i), i, v) for i, v in enumerate(values)], "key string, ts timestamp, ms long, v string")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    pairs = [("a", 0), ("a", 10), ("a", 500), ("b", 0), ("b", 600), ("b", 620), ("b", 1500)]
+    events(spark, pairs).coalesce(1).write.parquet(str(tmp_path / "in2"))
+    read = lambda name, d: spark.readStream.schema(d.schema).parquet(str(tmp_path / name))
+    hub, got, quiet = live.Hub(), [], []
+    hub.listen(live.distinct(read("in", df), "v", ["key"]), lambda b, _: got.extend(r.ms for r in b.collect())).awaitTermination()
+    assert sorted(got) == [0, 1, 3, 5]
+    # Timers run as long as the query does, so it is stopped once the last event has been flushed.
+    want = {(r.key, r.ms) for r in batch.debounce(events(spark, pairs), F.expr("INTERVAL '0.3' SECOND"), by=["key"]).collect()}
+    stream = live.debounce(read("in2", events(spark, pairs)), 0.3, ["key"])
+    query = hub.listen(stream, lambda b, _: quiet.extend((r.key, r.ms) for r in b.collect()), trigger={"processingTime": "300 milliseconds"})
+    for _ in range(120):
+        if set(quiet) >= want or not query.isActive:
+            break
+        time.sleep(0.5)
+    hub.close()
+    assert sorted(quiet) == sorted(want) and want == {("a", 10), ("a", 500), ("b", 0), ("b", 620), ("b", 1500)}
