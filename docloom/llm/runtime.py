@@ -24,10 +24,12 @@ _shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; a temporary one only where none is configured."""
+    """The shared folder; a temporary one only in local mode, where none is configured."""
     base = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     app = spark.sparkContext.applicationId
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {_KEY} to a folder that the driver and all executors share")
         base = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="docloom-"))
     return f"{base.rstrip('/')}/docloom-{app}"
 

@@ -18,7 +18,9 @@ the empty fingerprint; a text with fewer units than a k-mer has its whole
 sequence as one anchor; two empty fingerprints are alike (1), an empty and
 another one are not (0); rows with equal ids are ordered by their texts' hash;
 null ids come last; an empty table gives no rows; further columns are not
-read.
+read.  A text is held whole, with about 50 times its size of anchors, links and
+fingerprint.  Rows that share one id, or none, are neighbours in one bucket,
+which is sorted with spilling and not held.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import partitions
+from .runtime import materialize, partitions
 
 K = 5
 S = 2
@@ -110,35 +112,46 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(_bind(matched, lambda m: m / (total - m)))
 
 
+#: Quantiles of the ids that the driver holds at most, whatever the corpus' size.
+QUANTILES = 1_000
+
+
 def _ring(rows: DataFrame, per_bucket: int) -> DataFrame:
     """Add bucket and guest: neighbours by descending id share a bucket.
 
-    Buckets are ranges of ids between quantiles, of ``per_bucket`` rows, or
-    more rows where there would be over 5,000 buckets.  The largest id of each
-    bucket also goes, as a guest, to the bucket before it in descending
-    order, whose last document it follows; the very largest goes to the last.
-    Only the buckets' bounds reach the driver.
+    At most QUANTILES ranges of ids between quantiles are known to the driver,
+    with their bounds and counts.  Each is divided evenly into buckets of about
+    ``per_bucket`` rows, so there are as many buckets as the corpus asks for.
+    The largest id of each bucket also goes, as a guest, to the next bucket of
+    larger ids, whose last document it follows; the very largest goes to the
+    lowest bucket.
     """
     total = rows.count()
     count = max(-(-total // per_bucket), partitions(rows.sparkSession))
-    count = max(1, min(count, total, 5_000))
-    cuts = sorted(set(rows.approxQuantile("doc_id", [i / count for i in range(1, count)], 0.25 / count))) if count > 1 else []
-    cuts = [int(c) for c in cuts]
-    bucket = F.expr(f"size(filter(array({','.join(f'{c}L' for c in cuts)}), c -> c < doc_id))") if cuts else F.lit(0)
-    bucket = F.coalesce(bucket, F.lit(-1))  # null ids come last
-    keyed = rows.withColumn("bucket", bucket)
-    tops = keyed.groupBy("bucket").agg(F.max("doc_id").alias("top")).orderBy("bucket").collect()
-    if len(tops) < 1:
-        return keyed.withColumn("guest", F.lit(False))
-    # Descending ids run through the buckets from the highest to the lowest.
-    after = {r.bucket: (tops[i + 1].bucket if i + 1 < len(tops) else tops[0].bucket) for i, r in enumerate(tops)}
-    spark = rows.sparkSession
-    host = spark.createDataFrame([(r.bucket, r.top, after[r.bucket]) for r in tops], "bucket int, top long, host int")
-    met = keyed.join(F.broadcast(host), "bucket", "left")  # as many rows as buckets
-    own = F.struct(F.col("bucket"), F.lit(False).alias("guest"))
-    visit = F.struct(F.col("host").alias("bucket"), F.lit(True).alias("guest"))
-    places = F.when(F.col("doc_id").eqNullSafe(F.col("top")), F.array(own, visit)).otherwise(F.array(own))
-    return met.withColumn("place", F.explode(places)).drop("bucket", "top", "host").select("*", "place.bucket", "place.guest").drop("place")
+    ranges = max(1, min(count, total, QUANTILES))
+    cuts = sorted(set(rows.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.25 / ranges))) if ranges > 1 else []
+    number = F.expr(f"size(filter(array({','.join(f'{int(c)}L' for c in cuts)}), c -> c < doc_id))") if cuts else F.lit(0)
+    placed = rows.withColumn("range", F.coalesce(number, F.lit(-1)))  # null ids come last
+    found = placed.groupBy("range").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).orderBy("range").collect()
+    begin, lines = 0, []
+    for r in found:
+        within = max(1, -(-r.n // per_bucket)) if r.low is not None else 1
+        lines.append((r.range, r.low or 0, (r.high or 0) - (r.low or 0) + 1, within, begin))
+        begin += within
+    if not lines:
+        return placed.drop("range").withColumns({"bucket": F.lit(0).cast("long"), "guest": F.lit(False)})
+    of = lambda i: F.element_at(F.array(*[F.lit(x[i]).cast("long") for x in lines]), F.array_position(F.array(*[F.lit(x[0]) for x in lines]), F.col("range")).cast("int"))
+    # Ids of a range lie in low..low + width - 1; doubles keep the order.
+    inner = F.least(F.floor((F.col("doc_id") - of(1)).cast("double") * of(3) / of(2)), of(3) - 1)
+    keyed = placed.withColumn("bucket", of(4) + F.coalesce(inner, F.lit(0))).drop("range")
+    tops = keyed.groupBy("bucket").agg(F.max("doc_id").alias("top"))
+    # A row per bucket, a two-thousandth of the corpus: the one order over all of it.
+    tops = materialize(tops.select("bucket", "top", F.lead("bucket").over(Window.orderBy("bucket")).alias("host")), "syncmer-tops")
+    tops = tops.select(F.col("bucket").alias("own"), "top", F.coalesce("host", F.lit(tops.agg(F.min("bucket")).first()[0])).alias("host"))
+    met = keyed.join(tops, (F.col("bucket") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("top")))
+    # The last document of a bucket is followed by the largest of the next lower one.
+    guests = met.select(*rows.columns, F.col("host").alias("bucket"), F.lit(True).alias("guest"))
+    return keyed.withColumn("guest", F.lit(False)).unionByName(guests)
 
 
 def edit_experiment(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", per_bucket: int = 2_000) -> DataFrame:
