@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.llm import langid, licenses, lines, mixing, neardup, packing, quality, queries, syncmers, topk, warc
-from docloom.llm.runtime import connected_components
+from docloom.llm.runtime import components_within, connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rank int, bucket string, key string"
 BASE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
@@ -49,6 +49,10 @@ def test_components(spark):
         parent[max(a, b)] = min(a, b)
     nodes = {x for p in pairs for x in p if p[0] != p[1]}
     assert got == {x: root(x) for x in nodes}
+    # One task's union-find and the distributed one agree, however many links there are.
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    for most in (0, 10**6):
+        assert {r.node: r.component for r in components_within(edges, most=most).collect()} == got
 
 
 def test_packing(spark, odd, nothing):
