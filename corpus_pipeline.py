@@ -53,7 +53,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("best-fit packing", pack_sequences),
 ]
 
-#: SQL can't express a fitted classifier; tests compare with a brute-force version.
+#: SQL can't express a fitted classifier; tests/llm/test_pipeline.py holds the other stages against plain Python.
 ORACLE_SQL: str | None = None
 
 
