@@ -159,7 +159,7 @@ class Store:
     def __init__(
         self, spark: SparkSession, path: str, schema_version: int = 1,
         on_upgrade: Callable[[Store, int, int], None] | None = None, sync: str = "full",
-        encryption_key: bytes | None = None, logger: logging.Logger | None = None,
+        encryption_key: bytes | None = None, logger: logging.Logger | None = None, cache: bool = False,
     ) -> None:
         if sync not in SYNC_MODES:
             raise DocloomError(f"unknown sync mode {sync}")
@@ -167,7 +167,8 @@ class Store:
             raise DocloomError("an encryption key has 32 bytes")
         self.spark, self.path, self.sync, self.closed = spark, path.rstrip("/"), sync, False
         self.encryption_key, self.logger = encryption_key, logger
-        self.counters = {"commits": 0, "conflicts": 0, "reads": 0}
+        self.cache, self._cached = cache, None
+        self.counters = {"commits": 0, "conflicts": 0, "reads": 0, "cache_hits": 0}
         self.files = Files(spark, self.path)
         if self.version() < 0:
             first = {"version": 0, "snapshot": None, "snapshot_version": 0, "segments": [], "indexes": [], "schema_version": schema_version, "seq": 0}
@@ -218,6 +219,7 @@ class Store:
 
     def close(self) -> None:
         self.closed = True
+        self._uncache()
 
     # -- state
 
@@ -251,8 +253,30 @@ class Store:
             self.logger.info("%s %s", what, " ".join(parts))
 
     def rows(self, version: int | None = None) -> DataFrame:
-        """(key, value, expires_at): the latest entry of each key; value is JSON text."""
-        return kv.latest(self.log(version), ["value", "expires_at"])
+        """(key, value, expires_at): the latest entry of each key; value is JSON text.
+
+        With ``cache``, Spark keeps the newest version that was read, in memory
+        and on disk as there is room, until another one is read or the store
+        is closed.
+        """
+        if not self.cache:
+            return kv.latest(self.log(version), ["value", "expires_at"])
+        self._check_open()
+        version = self.version() if version is None else version
+        if self._cached and self._cached[0] == version:
+            self.counters["cache_hits"] += 1
+            return self._cached[1]
+        found = kv.latest(self.log(version), ["value", "expires_at"])
+        if self._cached and self._cached[0] > version:
+            return found
+        self._uncache()
+        self._cached = (version, found.persist())
+        return found
+
+    def _uncache(self) -> None:
+        if self._cached:
+            self._cached[1].unpersist()
+            self._cached = None
 
     def state(self, version: int | None = None) -> DataFrame:
         """(key, value, expires_at) with values as VARIANT."""
@@ -575,7 +599,9 @@ class Store:
         rows = self.rows(base["version"]).select("key", "value", F.lit(False).alias("tombstone"), "expires_at", F.lit(seq).cast("long").alias("seq"), F.current_timestamp().alias("ts"))
         name = f"snapshots/{uuid.uuid4().hex}"
         dealt = rows.repartitionByRange(partitions, "key") if partitions else rows.repartitionByRange("key")
-        self._secret(dealt.sortWithinPartitions("key")).write.parquet(f"{self.path}/{name}")
+        # A Bloom filter of each row group's keys, of a size that fits them, lets a lookup skip it.
+        bloom = {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+        self._secret(dealt.sortWithinPartitions("key")).write.options(**bloom).parquet(f"{self.path}/{name}")
 
         def swap(m: dict[str, Any]) -> dict[str, Any]:
             if m["snapshot"] != base["snapshot"]:

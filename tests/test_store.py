@@ -250,3 +250,14 @@ def test_simple_names(spark, tmp_path):
     assert s.get_all("u:?") == {"u:": {"a": 3}, "u:1": {"a": 1}, "u:2": {"a": 2}} and s.where("u", "a", "gt", 1).count() == 1
     assert [r["_id"] for r in s.scan_document_ids("u").collect()] == [r["_id"] for r in s.scan_documents("u").collect()] == ["1", "2"]
     assert s.delete_all("u:*") == 3 and s.count() == 1 and s.info()["commits"] == 2 and s.info()["bytes"]["log"] > 0
+
+
+def test_cache_follows_versions(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"), cache=True)
+    s.put("a", 1)
+    old = s.version()
+    assert s.get("a") == s.get("a") == 1 and s.info()["cache_hits"] >= 1
+    s.put("a", 2)
+    assert s.get("a") == 2 and s.get("a", old) == 1 and s.get("a") == 2
+    s.close()
+    assert s._cached is None
