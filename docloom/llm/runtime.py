@@ -134,7 +134,9 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         # Small star: smaller neighbours of x, and x itself, go to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), name)
+        old, e = e, materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), name)
+        if previous is not None:
+            discard(old)  # the round before; the first one reads the caller's links
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if not state[0] or tuple(state) == previous:
             break
