@@ -140,7 +140,7 @@ def verified(pairs: DataFrame, items: DataFrame, sets_of: Sets, percent: int) ->
 
 
 def _bounded(batch: pa.RecordBatch, columns: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that the columns hold about 2 MB, or one row."""
+    """Cut a batch so that the columns hold about 512 kB, or one row."""
     import pyarrow.compute as pc
 
     if not batch.num_rows:
@@ -149,7 +149,7 @@ def _bounded(batch: pa.RecordBatch, columns: tuple[str, ...]) -> Iterator[pa.Rec
     ends = np.cumsum(total)
     at = 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (2 << 20), side="right")))
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 19), side="right")))
         yield batch.slice(at, to - at)
         at = to
     del batch, total
@@ -242,7 +242,7 @@ def across(left: DataFrame, items: DataFrame, sets_of: Sets, percent: int) -> Da
     return every_block.mapInArrow(compare, "a long, b long").distinct()
 
 
-def _groups(batches: Iterator[pa.RecordBatch], n: int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def _groups(batches: Iterator[pa.RecordBatch], n: int, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Whole groups of rows that agree in the first ``n`` columns and follow each other, several in one batch of about ``limit`` bytes."""
     held: list[pa.RecordBatch] = []
 

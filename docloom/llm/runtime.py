@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _own: dict[str, str] = {}
 _shipped: set[str] = set()
 
@@ -39,8 +40,12 @@ def ship(spark: SparkSession) -> None:
 
     Spark's own file server hands the archive to each executor.  Workers then
     import modules, so that what they cache lasts for more than one task.
+    Arrow batches of whole texts are large, so a session that has Spark's
+    default for their rows gets fewer.
     """
     app = spark.sparkContext.applicationId
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "4000")
     if app in _shipped:
         return
     package = Path(__file__).resolve().parents[1]
