@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from docloom.llm import langid, licenses, mixing, neardup, packing, quality, topk, warc
+from docloom.llm import langid, licenses, linkage, mixing, neardup, packing, quality, topk, warc
 from docloom.llm.queries import tokenizer_file
 from docloom.llm.textops import Words, arrow_buffers
 from docloom.llm.tokens import WordTokenizer
@@ -238,3 +238,60 @@ def test_quality_features_against_sets():
         grams = got[got < 1 << quality.BITS].tolist()
         assert len(grams) == len(set(grams)) and set(grams) == want
         assert len(got) - len(grams) == 5
+
+
+class Sorted:
+    """Rows that stand for a DataFrame sorted by key, in batches of ``step``."""
+
+    sparkSession = None
+
+    def __init__(self, rows, step):
+        self.rows, self.step = rows, step
+
+    def select(self, *_):
+        return self
+
+    repartition = sortWithinPartitions = select
+
+    def mapInArrow(self, f, _):
+        batch = pa.RecordBatch.from_arrays([pa.array(self.rows[:, 0]), pa.array(self.rows[:, 1])], names=["key", "rep"])
+        return [r for b in f(batch.slice(i, self.step) for i in range(0, batch.num_rows, self.step)) for r in zip(*map(pa.Array.to_pylist, b.columns), strict=True)]
+
+
+def test_bucket_members_are_streamed(monkeypatch):
+    monkeypatch.setattr(linkage, "ship", lambda _: None)
+    monkeypatch.setattr(linkage, "materialize", lambda df, _: df)
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        n = int(rng.integers(1, 60))
+        rows = np.stack([rng.integers(0, rng.integers(2, 40), n), rng.integers(0, rng.integers(1, 5), n)], 1)
+        rows = rows[np.argsort(rows[:, 0], kind="stable")]
+        want = {(k, r) for k, r in rows.tolist() if len(set(rows[rows[:, 0] == k, 1].tolist())) > 1}
+        for step in (1, 2, 5, 100):
+            assert set(linkage.bucket_members(Sorted(rows, step), "x")) == want
+
+
+def test_blocks_are_met_pair_by_pair_and_by_matrices(monkeypatch):
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 50)).astype(np.uint64)) for _ in range(40)]
+    ranges, values = np.cumsum([0] + [len(x) for x in sets]), np.concatenate(sets)
+    plain = [set(x.tolist()) for x in sets]
+    want = sorted((i, j) for i in range(15) for j in range(25) if plain[i] and plain[15 + j] and 100 * len(plain[i] & plain[15 + j]) >= 40 * len(plain[i] | plain[15 + j]))
+    for pairs, width in ((0, 7), (0, 4096), (10**9, 7)):
+        monkeypatch.setattr(linkage, "PAIRS", pairs)
+        monkeypatch.setattr(linkage, "WIDTH", width)
+        i, j = linkage._similar_across(values, ranges, np.arange(15), np.arange(15, 40), 40)
+        assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == want
+
+
+def test_groups_stay_whole():
+    rng = np.random.default_rng(2)
+    rows = sorted((int(a), int(b), n) for n, (a, b) in enumerate(rng.integers(0, 9, (500, 2))))
+    table = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=list("abc"))
+    for step in (1, 3, 50, 500):
+        for limit in (1, 200, 10**6):
+            got = list(linkage._groups((table.slice(k, step) for k in range(0, 500, step)), 2, limit))
+            assert pa.Table.from_batches(got).to_pylist() == table.to_pylist()
+            ends = [(g.column(i)[at].as_py() for i in (0, 1)) for g in got for at in (0, -1)]
+            ends = [tuple(e) for e in ends]
+            assert all(a != b for a, b in zip(ends[1::2], ends[2::2], strict=False))
