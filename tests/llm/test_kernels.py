@@ -292,6 +292,5 @@ def test_groups_stay_whole():
         for limit in (1, 200, 10**6):
             got = list(linkage._groups((table.slice(k, step) for k in range(0, 500, step)), 2, limit))
             assert pa.Table.from_batches(got).to_pylist() == table.to_pylist()
-            ends = [(g.column(i)[at].as_py() for i in (0, 1)) for g in got for at in (0, -1)]
-            ends = [tuple(e) for e in ends]
+            ends = [(g.column(0)[at].as_py(), g.column(1)[at].as_py()) for g in got for at in (0, -1)]
             assert all(a != b for a, b in zip(ends[1::2], ends[2::2], strict=False))
