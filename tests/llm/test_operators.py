@@ -322,6 +322,62 @@ def test_line_candidates_meet(spark):
                 assert met >= 0.99, (space, words_, size, met)
 
 
+def similar_pairs(rng, letters, space, words_, size, n):
+    """Pairs of lines at or over 0.8, edited anywhere."""
+    pairs = []
+    while len(pairs) < n:
+        a = space.join("".join(rng.choice(list(letters), size)) for _ in range(words_))
+        b = a
+        for _ in range(int(rng.integers(1, 1 + max(1, len(a) // 45)))):
+            at, new = int(rng.integers(len(b) + 1)), str(rng.choice(list(letters)))
+            b = [b[:at] + new + b[at + 1 :], b[:at] + new + b[at:], b[:at] + b[at + 1 :]][int(rng.integers(3))]
+        if rng.random() < 0.5:
+            b = [str(rng.choice(list(letters))) + b[1:], b[:-1]][int(rng.integers(2))]
+        x, y = ({t[i : i + 5] for i in range(len(t) - 4)} or {t} for t in (a, b))
+        if a != b and 100 * len(x & y) >= 80 * len(x | y):
+            pairs.append((a, b))
+    return pairs
+
+
+def test_line_keys_meet_natively(spark):
+    """As ``test_line_candidates_meet``, for the keys that Spark computes; and lines that repeat themselves meet those that don't."""
+    rng = np.random.default_rng(9)
+    pairs = []
+    for letters in ALPHABETS.values():
+        for space in (" ", ""):
+            for words_, size in ((1, 12), (2, 8), (4, 7), (8, 5), (12, 7), (20, 6), (60, 6)):
+                pairs += [((space, words_, size), *p) for p in similar_pairs(rng, letters, space, words_, size, 40)]
+    for size in (5, 20, 60, 78, 95, 110, 125, 300):
+        own = ["".join(rng.choice(list(ALPHABETS["latin"]), size)) for _ in range(40)]
+        pairs += [(("repeated", size), x * 2, x * int(rng.integers(3, 30))) for x in own]
+    flat = list({t for _, a, b in pairs for t in (a, b)})
+    table = lines.distinct_lines(spark.createDataFrame([("\n".join(flat),)], "text string")).cache()
+    rep = {r.line: r.rep for r in table.collect()}
+    keys, sketches = collections.defaultdict(set), lines.sketched(table.withColumnRenamed("line", "payload")).cache()
+    for r in lines.line_keys(table, lines.repetitive(table)).collect():
+        keys[r.rep].add(r.key)
+    met = collections.defaultdict(list)
+    for kind, a, b in pairs:
+        met[kind].append(bool(keys[rep[a]] & keys[rep[b]]))
+    assert all(sum(x) >= 0.95 * len(x) for x in met.values()) and sum(map(sum, met.values())) >= 0.995 * len(pairs)
+    both = spark.createDataFrame([(rep[a], rep[b]) for _, a, b in pairs], "a long, b long")
+    both = both.join(sketches.alias("l"), F.expr("a = l.rep")).join(sketches.alias("r"), F.expr("b = r.rep"))
+    assert both.where(lines.may_be_similar("l", "r", 80)).count() == len(pairs)  # sketches rule no similar pair out
+
+
+def test_lines_without_python_on_executors(spark, monkeypatch):
+    def refuse(*_, **__):
+        raise AssertionError("Python on the executors")
+
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(spark.range(0)), name, refuse)
+    near = "the quick brown fox jumps over the lazy dog near the river bank"
+    group = [near + x for x in ("", "s", "x", " y")] + ["another line that stands alone in this table, far from the others"]
+    docs = spark.createDataFrame(list(enumerate(group)), "doc_id long, text string")
+    assert [r.doc_id for r in lines.duplicate_lines(docs).where("kept").orderBy("doc_id").collect()] == [0, 4]
+    assert lines.drop_duplicate_lines(docs).count() == 2
+
+
 @pytest.mark.parametrize("least,most", [(1, 4), (5, 8), (9, 14)])
 @pytest.mark.parametrize("space", [" ", ""])
 def test_lines_recall_by_word_count(spark, least, most, space):
