@@ -365,6 +365,30 @@ def test_line_keys_meet_natively(spark):
     assert both.where(lines.may_be_similar("l", "r", 80)).count() == len(pairs)  # sketches rule no similar pair out
 
 
+def test_shared_keys_are_dealt_in_parts(spark, monkeypatch):
+    """Only a part of the keys is in shuffle files at a time, and no key or row is lost by that."""
+    rng = np.random.default_rng(10)
+    rows = {(int(k) * 7919 - 400_000, int(r)) for k, r in zip(rng.integers(0, 900, 2000), rng.integers(-500, 500, 2000), strict=True)}
+    written = []
+    monkeypatch.setattr(lines, "sweep", lambda s: written.append(s))
+    got = [tuple(r) for r in lines.shared_keys(spark.createDataFrame(sorted(rows), "key long, rep long"), "test-members").collect()]
+    count = collections.Counter(k for k, _ in rows)
+    assert sorted(got) == sorted(x for x in rows if count[x[0]] > 1)
+    assert len(written) > 3  # the keys as they come, and then part by part
+
+
+def test_verification_has_tasks_for_its_shingles(spark, monkeypatch):
+    """Pairs of few bytes and many shingles aren't put together in one task."""
+    monkeypatch.setattr(lines, "TASK_SHINGLES", 1000, raising=False)
+    rng = np.random.default_rng(11)
+    texts = ["".join(rng.choice(list(ALPHABETS["latin"]), 300)) for _ in range(60)]
+    items = spark.createDataFrame([(2 * i + j, x + "zz" * j) for i, x in enumerate(texts) for j in (0, 1)], "rep long, payload string")
+    pairs = spark.createDataFrame([(2 * i, 2 * i + 1, 594) for i in range(60)] + [(2 * i, 2 * i + 2, 592) for i in range(59)], "a long, b long, n long")
+    got = lines.verified(pairs, items, 80).select("a", "b", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.a, r.b) for r in got) == [(2 * i, 2 * i + 1) for i in range(60)]
+    assert len({r.task for r in got}) > 20
+
+
 def test_lines_without_python_on_executors(spark, monkeypatch):
     def refuse(*_, **__):
         raise AssertionError("Python on the executors")
